@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and the SQL that gives the same rows where SQL can."""
 
 from .bpe_tree import op6_bpe_tree
+from .html_text import op9_html_text
 from .licenses import op10_license_scan
 from .tiff import op7_tiff_pages
 from .token_tree import op4_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_tiff_pages": op7_tiff_pages,
+    "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }
 
