@@ -96,3 +96,8 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps before the next adds its own; else they stay until the driver's next collection."""
+    spark.sparkContext._jvm.System.gc()
