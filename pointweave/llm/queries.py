@@ -1,17 +1,25 @@
 """The registered queries of this subpackage and the SQL that gives the same rows where SQL can."""
 
 from .bpe_tree import op6_bpe_tree
+from .embedding_dedup import op3_embedding_dedup
 from .html_text import op9_html_text
 from .licenses import op10_license_scan
+from .line_dedup import op5_line_dedup
+from .ngram_join import op8_ngram_join
+from .packing import op2_packing
 from .tiff import op7_tiff_pages
 from .token_tree import op4_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_tiff_pages": op7_tiff_pages,
+    "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }

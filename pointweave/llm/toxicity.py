@@ -28,11 +28,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, texts_of
+from .common import map_texts, slices, table, texts_of
 
 #: Bounds of the sample that the model is fitted on.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -199,3 +200,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic; no row is moved."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                yield part.filter(pa.array([s < 0.5 for s in score(texts, model)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
