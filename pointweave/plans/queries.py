@@ -131,10 +131,10 @@ def subspace_uniformity(spark, sf):
 YUV_SQL = "0.299 * r::DOUBLE + 0.587 * g + 0.114 * b AS y0, -0.168736 * r::DOUBLE - 0.331264 * g + 0.5 * b + 128 AS u0, 0.5 * r::DOUBLE - 0.418688 * g - 0.081312 * b + 128 AS v0"
 
 
-@query(f"WITH {POINTS_SQL} SELECT ts, count(*) AS n, round(sum(y0), 2) AS y, round(sum(u0), 2) AS u, round(sum(v0), 2) AS v FROM (SELECT ts, {YUV_SQL} FROM pts) GROUP BY ts")
+@query(f"WITH {POINTS_SQL} SELECT ts, count(*) AS n, round(sum(y0), 6) AS y, round(sum(u0), 6) AS u, round(sum(v0), 6) AS v FROM (SELECT ts, {YUV_SQL} FROM pts) GROUP BY ts")
 def rgb_to_yuv(spark, sf):
     y, u, v = fn.rgb_to_yuv("r", "g", "b")
-    return points(spark, sf).select("ts", y.alias("y"), u.alias("u"), v.alias("v")).groupBy("ts").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in "yuv"))
+    return points(spark, sf).select("ts", y.alias("y"), u.alias("u"), v.alias("v")).groupBy("ts").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 6).alias(c) for c in "yuv"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT DISTINCT r, g, b, CAST(round(least(greatest(y0 + 1.402 * (v0 - 128), 0), 255)) AS INTEGER) AS r1, CAST(round(least(greatest(y0 - 0.3441 * (u0 - 128) - 0.7141 * (v0 - 128), 0), 255)) AS INTEGER) AS g1, CAST(round(least(greatest(y0 + 1.772 * (u0 - 128), 0), 255)) AS INTEGER) AS b1 FROM (SELECT r, g, b, {YUV_SQL} FROM pts)")
