@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step works on at once; a longer text is a slice of its own.
@@ -28,11 +28,20 @@ def work_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: With it, a query's shuffle files go when it ends and not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df in the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df in the shared folder and read it again: cuts lineage, survives lost executors, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/pointweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +55,15 @@ def drop_kept(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of ids up to which they may be broadcast, about 32 MB in memory; more are joined by shuffling.
+MOST_IDS = 1 << 20
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A kept table of ids, marked for broadcast if its counted size is within the bound."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,13 +109,3 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[list, dict], dict], sche
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, without any other."""
     return docs.select("doc_id", "text", *more)
-
-
-def ascii_lower(c: Column) -> Column:
-    """A-Z lowered, every other character as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps before the next adds its own; else they stay until the driver's next collection."""
-    spark.sparkContext._jvm.System.gc()

@@ -123,8 +123,8 @@ def test_prefixes_lose_no_pair():
 
 
 def normalised(line):
-    line = re.sub(r"[!-/:-@\[-`{-~‘-„…–—«»·]+", "", line.lower())
-    return re.sub(r"[ \t\n\x0B\f\r][ \t\n\x0B\f\r]+|[\t\r\f\x0B ]", " ", line).strip(" ")
+    line = re.sub(r"[!-/:-@\[-`{-~\r\f\x0B]+", "", line.lower().replace("\t", " "))
+    return re.sub(" {2,}", " ", line).strip(" ")
 
 
 def distance(a, b):
@@ -145,10 +145,16 @@ def brute_lines(rows):
                 places[n].append((d, i))
     lines = list(places)
     words = [x.split(" ") for x in lines]
-    hashes = [np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ([x for x in ws if len(x) > line_dedup.SHORT_WORD] or ws)], np.uint64) for ws in words]
-    sim = [sum(1 << b for b in range(60) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)) for h in hashes]
-    sign = [tuple(int((h.view(np.int64) ^ np.int64(o)).min()) for o in line_dedup.ORDERS) for h in hashes]
     name = [np.uint64(xxhash.xxh64_intdigest(x.encode(), seed=42)).view(np.int64) for x in lines]
+    sim, sign = [], []
+    for ws, own in zip(words, name, strict=True):
+        h = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ws if len(w) > line_dedup.SHORT_WORD], np.uint64)
+        if len(h):
+            sim.append(sum(1 << b for b in range(60) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)))
+            sign.append(tuple(int((h.view(np.int64) ^ np.int64(o)).min()) for o in line_dedup.ORDERS))
+        else:
+            sim.append(int(own) & (1 << 60) - 1)
+            sign.append(int(own))
     pairs = {(i, j) for i in range(len(lines)) for j in range(i) if bin(sim[i] ^ sim[j]).count("1") <= line_dedup.NEAR_BITS and any((sim[i] ^ sim[j]) & m == 0 for m in line_dedup.MASKS)}
     for keys in (sim, sign):
         groups = defaultdict(list)
