@@ -1,8 +1,8 @@
 """Lexical retrieval packing: sequences filled with a seed document's nearest unused neighbours.
 
 Documents are encoded once and kept. Those with like vocabulary are dealt into the same shard, a
-range of a weighted min-hash of their tokens that holds about SHARD_DOCS documents, so that copies
-of one text, however many, spread over as many shards as they need. A shard builds its inverted index of token ids with BM25 weights;
+range of a weighted min-hash of their tokens that holds up to SHARD_DOCS documents, so that copies
+of one text, however many, spread over as many shards as they need; a task holds TASK_SHARDS shards. A shard builds its inverted index of token ids with BM25 weights;
 document frequencies and lengths are counted over all documents.
 
 A document of at least a whole sequence fills sequences of its own first. The rest of each is
@@ -19,6 +19,7 @@ empty table gives none; only doc_id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import keep, map_texts, release, table, texts_of
+from .common import keep, map_texts, table, texts_of
 
 SEQUENCE, SEPARATOR = 2048, 1
-SHARD_DOCS = 1024
+SHARD_DOCS, TASK_SHARDS = 320, 8
 K1, B = 1.2, 0.75
 #: Ids at the start of a vocabulary are its commonest; a token's weight in the sign rises with its id.
 SIGN_POWER = 3.0
@@ -47,13 +48,15 @@ def _signs(n_vocab: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, ids (little-endian, of 2 or 4 bytes by vocabulary) with the separator, their number and the shard sign."""
-    wide = "<u2" if bpe.from_vocabulary(vocabulary).n_vocab <= 1 << 16 else "<u4"
+    wide, code = ("<u2", "H") if bpe.from_vocabulary(vocabulary).n_vocab <= 1 << 16 else ("<u4", "I")
 
     def run(texts: list[str], rest: dict) -> dict:
         enc = bpe.from_vocabulary(vocabulary)
         rank = _signs(enc.n_vocab)
-        ids = [np.array([*enc.encode_ordinary(x), separator], wide) for x in texts]
-        return {"doc_id": rest["doc_id"], "ids": [x.tobytes() for x in ids], "n": [len(x) for x in ids], "sign": [float(rank[x].min()) for x in ids]}
+        ids = [array(code, enc.encode_ordinary(x)) for x in texts]
+        for x in ids:
+            x.append(separator)
+        return {"doc_id": rest["doc_id"], "ids": [x.tobytes() for x in ids], "n": [len(x) for x in ids], "sign": [float(rank[np.frombuffer(x, wide)].min()) for x in ids]}
 
     return map_texts(texts_of(docs), "text", run, "doc_id long, ids binary, n long, sign double")
 
@@ -64,8 +67,9 @@ def token_counts(tokens: DataFrame, n_vocab: int, wide: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n_vocab, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found[np.unique(np.frombuffer(ids.as_buffer(), wide))] += 1
+            each = [np.unique(np.frombuffer(ids.as_buffer(), wide)) for ids in batch.column("ids")]
+            if each:
+                found += np.bincount(np.concatenate(each), minlength=n_vocab)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["token", "n"])
 
@@ -169,14 +173,14 @@ def packed(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, separator: int = S
     counts = token_counts(tokens, n_vocab, wide)
     idf = np.log1p((total["docs"] - counts + 0.5) / (counts + 0.5))
     shared = spark.sparkContext.broadcast((idf, (total["ids"] or 1) / max(1, total["docs"])))
-    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(doc, ids) for batch in batches for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("sign", "doc_id", "ids")), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
         base = TaskContext.get().partitionId() << 32
-        for first in range(0, len(rows), 2 * shard_docs):  # a shard is bounded, whatever the ranges came out as
-            shard = rows[first : first + 2 * shard_docs]
+        n_shards = -(-len(rows) // shard_docs)
+        for i in range(n_shards):  # of equal size, bounded whatever the ranges came out as
+            shard = [r[1:] for r in rows[i * len(rows) // n_shards : (i + 1) * len(rows) // n_shards]]
             texts = [np.frombuffer(ids, wide) for _, ids in shard]
             out: list[tuple] = []
             for sequence in pack(texts, *shared.value, most):
@@ -187,8 +191,8 @@ def packed(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, separator: int = S
                 base += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    shards = max(1, -(-total["docs"] // shard_docs))
-    dealt = tokens.select("doc_id", "ids", "sign").repartitionByRange(shards, "sign", "doc_id", F.crc32("ids")).select("doc_id", "ids")
+    ranges = max(1, -(-total["docs"] // (shard_docs * TASK_SHARDS)))
+    dealt = tokens.select("doc_id", "ids", "sign").repartitionByRange(ranges, "sign", "doc_id", F.crc32("ids"))
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
