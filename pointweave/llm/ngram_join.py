@@ -29,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, map_texts, release, table, texts_of
+from .common import drop_kept, few, keep, map_texts, table, texts_of
 from .graph import components
 from .shingles import shingle_set
 
 PERCENT = 80
 #: Shingles that are ordered by their counts, and the least count of one; a bound on what is broadcast, not on results.
-FREQUENT, LEAST_COUNT = 100_000, 8
+FREQUENT, LEAST_COUNT = 1 << 19, 4
+#: Least shingles that a round of stars looks at (from the first, how many), and how many a document shares with its centre.
+ROUNDS, SHARED = ((1, 6), (7, 6)), 2
+#: Thousandths of a head's shingles that others have too, from which a document's shingles are counted.
+NOTICEABLE = 50
 MOST_MATCHES = 8
 #: Cost of verifying a candidate, in postings read, and the count taken for shingles not among the frequent.
 VERIFY_COST, RARE_COUNT = 50.0, 1.5
@@ -63,7 +67,7 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tu
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, the set's 128-bit name (s1, s2) and its first 20 % by hash."""
+    """doc_id, n, the set's 128-bit name (s1, s2) and its first 20 % and 12 by hash."""
 
     def run(texts: list[str], rest: dict) -> dict:
         sets = [shingle_set(x) for x in texts]
@@ -73,7 +77,7 @@ def _described(docs: DataFrame) -> DataFrame:
             "n": [len(s) for s in sets],
             "s1": [int(x[0]) for x in names],
             "s2": [int(x[1]) for x in names],
-            "head": [s[: len(s) - needed(len(s)) + 4] for s in sets],
+            "head": [s[: len(s) - needed(len(s)) + 12] for s in sets],
         }
 
     return map_texts(texts_of(docs), "text", run, "doc_id long, n long, s1 long, s2 long, head array<long>")
@@ -88,7 +92,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose whole sets link."""
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = few(keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked"))
     sets = keep(_sets(docs.join(asked, docs["doc_id"] == asked["id"], "left_semi")), "sets")
     both = pairs.join(sets.withColumnRenamed("set", "set_a"), F.col("a") == F.col("id")).drop("id").join(sets, F.col("b") == F.col("id")).drop("id")
 
@@ -106,50 +110,119 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+def _counted(shingles: DataFrame) -> DataFrame:
+    return shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(f"n >= {LEAST_COUNT}")
+
+
+def _common(heads: DataFrame) -> DataFrame:
+    """(id, common): what share, in thousandths, of each head's shingles other classes have too."""
+    own = heads.select("doc_id", F.explode("head").alias("shingle"))
+    repeated = few(keep(_counted(own).select("shingle"), "repeated"))
+    found = own.join(repeated, "shingle").groupBy("doc_id").agg(F.count("*").alias("found"))
+    return keep(found.join(heads.select("doc_id", F.size("head").alias("size")), "doc_id").select(F.col("doc_id").alias("id"), F.expr("1000 * found div size").alias("common")), "common")
+
+
+def _frequent(docs: DataFrame, common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most shared shingles, sorted, and how many classes have each.
+
+    Heads hold a fifth of each set, enough to tell which documents are to a noticeable part made of shared text; of those all shingles are counted.
+    """
+    holders = few(keep(common.where(f"common >= {NOTICEABLE}").select("id"), "holders"))
+    whole = _whole_sets(docs.join(holders, docs["doc_id"] == holders["id"], "left_semi"))
+    top = keep(_counted(whole.select(F.explode("shingles").alias("shingle"))).orderBy(F.desc("n"), "shingle").limit(FREQUENT), "frequent").toArrow()
+    shingles = top.column("shingle").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], top.column("n").to_numpy()[order]
+
+
+def _whole_sets(docs: DataFrame) -> DataFrame:
+    return map_texts(texts_of(docs), "text", lambda texts, rest: {"shingles": [shingle_set(x) for x in texts]}, "shingles array<long>")
+
+
+def star_pairs(heads: DataFrame, common: DataFrame, groups: DataFrame | None, first: int, length: int) -> DataFrame:
+    """(a, b): each document with a centre of its least shingles in another group, when they share SHARED of those looked at.
+
+    A shingle's centre is the document most of whose shingles are common: of an original and its changed
+    copies, the original, which they are all nearest to.
+    """
+    keyed = heads.select("doc_id", "n", F.explode(F.slice("head", first, length)).alias("shingle"))
+    if groups is None:
+        keyed = keyed.withColumn("within", F.col("doc_id"))
+    else:
+        keyed = keyed.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "shingle", F.coalesce("component", "doc_id").alias("within"))
+    keyed = keyed.join(few(common), F.col("doc_id") == F.col("id"), "left").withColumn("rare", 1000 - F.coalesce("common", F.lit(0))).drop("id", "common")
+    rank = F.struct(F.col("rare").alias("rank"), F.col("doc_id").alias("a"), F.col("within").alias("centre"), F.col("n").alias("of"))
+    centres = keyed.groupBy("shingle").agg(F.min(rank).alias("c"), F.min("within").alias("x"), F.max("within").alias("y")).where("x < y").select("shingle", "c.*")
+    met = keyed.join(centres, "shingle").where(f"within <> centre and 100 * least(n, of) >= {PERCENT} * greatest(n, of)")
+    shared = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= SHARED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups with more links between them."""
+    links = links if groups is None else groups.toDF("a", "b").union(links)
+    return keep(components(links), "groups")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that lie between two groups."""
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where("coalesce(c_a, a) <> coalesce(c_b, b)").select(*pairs.columns)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each document, the pair of it that shares most."""
+    ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("of"))
+    best = ends.groupBy("of").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
+    return best.distinct()
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
     spark = docs.sparkSession
-    own = keep(_described(docs), "described")
-    classes = keep(
-        own.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes"
-    )
-    heads = own.where("n > 0").join(classes.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
-
-    # copies with small changes: a star around the least id of those with the same pair of least shingles
-    keys = F.array(*(F.xxhash64(F.lit(i), F.try_element_at("head", F.lit(2 * i + 1)), F.try_element_at("head", F.lit(2 * i + 2))) for i in (0, 1)))
-    keyed = heads.where("n > 4").select("doc_id", F.explode(keys).alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
-    stars = keep(keyed.join(centres, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    near = verified(docs, stars)
-    drop_kept(stars)
-    grouped = keep(components(near), "grouped")
-    release(spark)
-
-    frequent = heads.select(F.explode("head").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(f"n >= {LEAST_COUNT}").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    frequent.sort(key=lambda r: r["shingle"])
-    shared = spark.sparkContext.broadcast((np.array([r["shingle"] for r in frequent], np.int64), np.array([r["n"] for r in frequent], np.int64)))
-    release(spark)
+    described = keep(_described(docs), "described")
+    own = keep(described.select("doc_id", "n", "s1", "s2"), "own")
+    classes = keep(own.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
+    heads = keep(described.where("n > 0").join(classes.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "n", "head"), "heads")
+    drop_kept(described)
+
+    common, groups = _common(heads), None
+    for first, length in ROUNDS:
+        stars = keep(star_pairs(heads, common, groups, first, length), "stars")
+        groups = _joined(groups, verified(docs, stars))
+        drop_kept(stars)
+
+    shared = spark.sparkContext.broadcast(_frequent(docs, common))
 
     def cut(texts: list[str], rest: dict) -> dict:
         sets = [shingle_set(x) for x in texts]
         found = [prefix(s, *shared.value) for s in sets]
         return {"doc": rest["doc_id"], "n": [len(s) for s in sets], "matches": [m for m, _ in found], "shingles": [p for _, p in found]}
 
-    ids = classes.select(F.col("id").alias("doc")).distinct().join(grouped, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("within"))
+    ids = classes.select(F.col("id").alias("doc")).distinct().join(groups, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("within"))
     prefixes = map_texts(texts_of(docs), "text", cut, "doc long, n long, matches int, shingles array<long>").where("n > 0").join(ids, "doc")
-    postings = prefixes.select("doc", "n", "matches", "within", F.explode("shingles").alias("shingle"))
-    left, right = (postings.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "matches", "within"))) for side in "ab")
+    # n and l as one number, which keeps a posting at four
+    postings = prefixes.select("doc", (F.col("n") * 16 + F.col("matches")).alias("size"), "within", F.explode("shingles").alias("shingle"))
+    left, right = (postings.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "size", "within"))) for side in "ab")
     meet = left.join(
         right,
         (left["shingle"] == right["shingle"])
-        & F.expr(f"doc_a < doc_b and within_a <> within_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"),
+        & F.expr(f"doc_a < doc_b and within_a <> within_b and 100 * least(size_a div 16, size_b div 16) >= {PERCENT} * greatest(size_a div 16, size_b div 16)"),
     )
-    pairs = meet.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("least")).where("shared >= least").select("a", "b")
-    candidates = keep(pairs, "candidates")
-    release(spark)
-    links = verified(docs, candidates)
-    release(spark)
-    groups = components(near.union(links))
+    met = meet.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("shared"))
+    # beyond what both prefixes share, two sets share no more than the longer of the rests, so a pair needs the difference to the overlap that links it
+    rest = [F.expr(f"({PERCENT} * (size_{x} div 16) + 99) div 100 - size_{x} % 16") for x in "ab"]
+    overlap = F.expr(f"({PERCENT} * (size_a div 16 + size_b div 16) + {99 + PERCENT}) div {100 + PERCENT}")
+    enough = F.greatest(F.expr("least(size_a % 16, size_b % 16)"), overlap - F.greatest(*rest))
+    pairs = met.where(F.col("shared") >= enough).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    left_over = keep(pairs, "candidates")
+    for pick in (_best, _best, lambda p: p.select("a", "b")):
+        chosen = keep(pick(left_over), "chosen")
+        groups = _joined(groups, verified(docs, chosen))
+        left_over = keep(_apart(left_over.join(chosen, ["a", "b"], "left_anti"), groups), "left-over")
+        if left_over.isEmpty():
+            break
 
     named = classes.join(groups, F.col("id") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     return own.join(named, ["s1", "s2"], "left").select(
