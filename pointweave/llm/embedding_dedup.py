@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, release, table
+from .common import drop_kept, keep, table
 from .graph import components
 
 THRESHOLD = 0.95
@@ -193,7 +193,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     rows = dealt.select("cell", "id", "copies", "dim", "point", "home", "guests", F.explode(tasks).alias("task")).select("*", "task.*").drop("task")
     found = keep(rows.groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, n long, least long"), "found")
     drop_kept(placed)
-    release(vectors.sparkSession)
 
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.where("least is not null"), "id", "least")

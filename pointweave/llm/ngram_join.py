@@ -203,18 +203,22 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     ids = classes.select(F.col("id").alias("doc")).distinct().join(groups, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("within"))
     prefixes = map_texts(texts_of(docs), "text", cut, "doc long, n long, matches int, shingles array<long>").where("n > 0").join(ids, "doc")
     # n and l as one number, which keeps a posting at four
-    postings = prefixes.select("doc", (F.col("n") * 16 + F.col("matches")).alias("size"), "within", F.explode("shingles").alias("shingle"))
-    left, right = (postings.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "size", "within"))) for side in "ab")
+    postings = prefixes.select("doc", (F.col("n") * 16 + F.col("matches")).alias("size"), "within", F.posexplode("shingles").alias("pos", "shingle"))
+    # a set shares more with a partner at least as large than with any, so a shorter prefix of the smaller of two does
+    twice = f"({2 * PERCENT} * (size div 16) + {99 + PERCENT}) div {100 + PERCENT} - size % 16"
+    postings = postings.withColumn("early", F.expr(f"pos < size div 16 - ({twice})")).drop("pos")
+    left, right = (postings.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "size", "within", "early"))) for side in "ab")
     meet = left.join(
         right,
         (left["shingle"] == right["shingle"])
-        & F.expr(f"doc_a < doc_b and within_a <> within_b and 100 * least(size_a div 16, size_b div 16) >= {PERCENT} * greatest(size_a div 16, size_b div 16)"),
+        & F.expr(f"doc_a < doc_b and within_a <> within_b and case when size_a div 16 <= size_b div 16 then early_a else early_b end and 100 * least(size_a div 16, size_b div 16) >= {PERCENT} * greatest(size_a div 16, size_b div 16)"),
     )
     met = meet.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("shared"))
     # beyond what both prefixes share, two sets share no more than the longer of the rests, so a pair needs the difference to the overlap that links it
-    rest = [F.expr(f"({PERCENT} * (size_{x} div 16) + 99) div 100 - size_{x} % 16") for x in "ab"]
+    whole = lambda x: f"({PERCENT} * (size_{x} div 16) + 99) div 100 - size_{x} % 16"
+    rest = F.expr(f"case when size_a div 16 <= size_b div 16 then greatest({twice.replace('size', 'size_a')}, {whole('b')}) else greatest({twice.replace('size', 'size_b')}, {whole('a')}) end")
     overlap = F.expr(f"({PERCENT} * (size_a div 16 + size_b div 16) + {99 + PERCENT}) div {100 + PERCENT}")
-    enough = F.greatest(F.expr("least(size_a % 16, size_b % 16)"), overlap - F.greatest(*rest))
+    enough = F.greatest(F.expr("least(size_a % 16, size_b % 16)"), overlap - rest)
     pairs = met.where(F.col("shared") >= enough).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     left_over = keep(pairs, "candidates")
     for pick in (_best, _best, lambda p: p.select("a", "b")):
