@@ -208,6 +208,40 @@ def test_line_dedup_runs_no_python(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+# --- line dedup against brute force on similarity alone ---
+
+
+def replaced_words(line, share):
+    words = line.split(" ")
+    for i in rnd.sample(range(len(words)), max(1, int(len(words) * share))):
+        words[i] = "".join(rnd.choice("ijklmnop") for _ in range(len(words[i])))
+    return " ".join(words)
+
+
+def similar(a, b):
+    longest = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= 0.2 * longest and distance(a, b) <= int(0.2 * longest + 1e-9)
+
+
+def found_share(spark, pairs):
+    """The share of pairs of similar lines of which one is dropped, and whether any other is."""
+    texts = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert not any(2 * i in gone for i in range(len(pairs)))
+    wanted = [i for i, (a, b) in enumerate(pairs) if similar(normalised(a), normalised(b))]
+    return sum(2 * i + 1 in gone for i in wanted) / len(wanted), len(wanted)
+
+
+def distinct_lines(words, n):
+    return [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 9))) for _ in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("words, share", [(12, 0.1), (12, 0.15), (30, 0.1), (30, 0.15), (70, 0.1), (70, 0.15)])
+def test_changed_lines_are_candidates(spark, words, share):
+    found, n = found_share(spark, [(x, replaced_words(x, share)) for x in distinct_lines(words, 100)])
+    assert n > 90 and found > 0.93  # by SimHash blocks and one sign: 0.2 to 0.6
+
+
 # --- embeddings ---
 
 
