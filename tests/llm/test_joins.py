@@ -242,6 +242,20 @@ def test_changed_lines_are_candidates(spark, words, share):
     assert n > 90 and found > 0.93  # by SimHash blocks and one sign: 0.2 to 0.6
 
 
+def test_similarity_is_of_characters(spark):
+    """Short lines, typos in many words and scripts without spaces, against brute force over all pairs."""
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(150))
+    lines = ["alpha", "alphb", "alph", "abcd", "abce", "of it to us", "of it to uz", "12345678901", "1234x678y01", "漢字漢語日本東京", "漢字漢語日木東京", han, han[:70] + "x" + han[75:], han[:100]]
+    lines += [x for y in distinct_lines(8, 6) for x in (y, "q" + y[1:-1] + "q")] + [x for y in distinct_lines(2, 6) for x in (y, y[:3] + y[4:])]
+    u = Union(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if similar(a, lines[j]):
+                u.link(i, j)
+    got = {r.doc_id for r in line_dedup.dropped_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i for i in u.up if u.find(i) != i} and {1, 2, 6, 8, 10, 12} <= got and not {4, 13} & got
+
+
 # --- embeddings ---
 
 
