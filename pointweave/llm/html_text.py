@@ -11,7 +11,7 @@ pages that have the node,
 A node with text whose two importances are both low is template: its branch is removed from every
 page of the host. Elements that are never main text, by their meaning (navigation, forms, scripts,
 page heads and feet, adverts, notices, comments), have no importance; where a page marks its
-article, the article's other branches are kept whole, and what lies outside it is dropped.
+article, what lies outside it has none either, and the article's branches are judged like any others.
 
 The tree is held as sums by (host, path), so a host with a third of all pages is summed like any
 other. The template nodes go to all executors if they number MOST_BROADCAST at most, else pages are
@@ -168,10 +168,9 @@ def page_nodes(url: str | None, page: str) -> Iterable[tuple[int, int, int]]:
 def main_text(url: str | None, page: str, template) -> str:
     """The page's blocks, one a line. template: tells of a list of nodes which are template."""
     runs, _ = walk(page)
-    marked = any(inside for _, _, inside, _ in runs)
-    if marked:
+    if any(inside for _, _, inside, _ in runs):
         runs = [r for r in runs if r[2]]
-    elif runs:
+    if runs:
         host = host_of(url)
         paths = list({r[0] for r in runs})
         gone = {p for p, t in zip(paths, template([node_key(host, p) for p in paths]), strict=True) if t}

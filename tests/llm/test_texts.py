@@ -152,6 +152,14 @@ def test_site_style_tree_removes_repeated_branches(spark):
         assert got[99].startswith("Same words")  # a host's single page tells nothing of its site
 
 
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_template_branches_go_from_marked_articles_too(spark, tag):
+    page = f"<body><div class='top'>Same words</div><{tag}><p>Own words {{0}} of page {{0}}</p><div class='writer'><p>Ann writes about all things</p></div></{tag}></body>"
+    pages = spark.createDataFrame([(i, f"http://site.example/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    for bound in (html_text.MOST_BROADCAST, -1):
+        assert rows(html_text.extract_text(pages, bound), "page_id", "text") == sorted([(i, f"Own words {i} of page {i}") for i in range(12)], key=str)
+
+
 # --- licenses ---
 
 
