@@ -2,7 +2,8 @@
 
 Documents are encoded once and kept. Those with like vocabulary are dealt into the same shard, a
 range of a weighted min-hash of their tokens that holds up to SHARD_DOCS documents, so that copies
-of one text, however many, spread over as many shards as they need; a task holds TASK_SHARDS shards. A shard builds its inverted index of token ids with BM25 weights;
+of one text, however many, spread over as many shards as they need; a task holds TASK_SHARDS shards. Up to
+SHARD_DOCS documents are one shard, in which BM25 sees them all; of more, a seed sees those of its shard. A shard builds its inverted index of token ids with BM25 weights;
 document frequencies and lengths are counted over all documents.
 
 A document of at least a whole sequence fills sequences of its own first. The rest of each is
@@ -32,7 +33,8 @@ from . import bpe
 from .common import keep, map_texts, table, texts_of
 
 SEQUENCE, SEPARATOR = 2048, 1
-SHARD_DOCS, TASK_SHARDS = 320, 8
+#: Large shards cost CPU time in proportion, but a seed can see no further than its own: tables up to this size are searched whole.
+SHARD_DOCS, TASK_SHARDS = 16_384, 1
 K1, B = 1.2, 0.75
 #: Ids at the start of a vocabulary are its commonest; a token's weight in the sign rises with its id.
 SIGN_POWER = 3.0

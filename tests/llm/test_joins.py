@@ -337,6 +337,23 @@ def test_bm25_and_greedy_filling():
     assert [p[0] for p in first][:2] == [0, 1] and sum(p[2] for p in first) == 10
 
 
+def test_packing_searches_all_documents(spark):
+    """The sequences are those of one index over the whole table."""
+    texts = [sentence(rnd.randint(20, 60)) for _ in range(700)]
+    enc = bpe.from_vocabulary()
+    ids = [np.array([*enc.encode_ordinary(t), 1], np.uint16) for t in texts]
+    seen, counts = packing._signs(enc.n_vocab), np.zeros(enc.n_vocab)
+    for x in ids:
+        counts[np.unique(x)] += 1
+    order = sorted(range(len(ids)), key=lambda i: (seen[ids[i]].min(), i))
+    idf = np.log1p((len(ids) - counts + 0.5) / (counts + 0.5))
+    want = packing.pack([ids[i] for i in order], idf, sum(map(len, ids)) / len(ids), 256)
+    got = defaultdict(list)
+    for r in packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=256).orderBy("sequence_id", "offset").collect():
+        got[r.sequence_id].append((r.doc_id, r.start, r.length))
+    assert list(got.values()) == [[(order[d], s, n) for d, s, n in x] for x in want]
+
+
 # --- pipeline ---
 
 
