@@ -436,14 +436,20 @@ def zstd_roundtrip(spark, sf):
     return tab(spark, sf, "part").select("p_partkey", F.md5(zstd_decode_udf(zstd_encode_udf(F.concat("p_name", "p_type").cast("binary")))).alias("digest"))
 
 
-def _sequence(spark, sf, frames: int = 6):
-    """A few frames of two patches as points with ids, small enough to register."""
-    p = points(spark, sf).where(f"ts <= {frames} and patch < 2").dropDuplicates(["ts", "patch", "x", "y", "z"])
+def _sequence(spark, sf):
+    """All frames and patches as points with ids."""
+    p = points(spark, sf).dropDuplicates(["ts", "patch", "x", "y", "z"])
     order = Window.partitionBy("ts", "patch").orderBy("x", "y", "z", "r", "g", "b")
     return p.withColumn("pid", (F.row_number().over(order) - 1).cast("long")).withColumn("type", F.lit(1).cast("byte"))
 
 
-CODEC = Params().with_(patch={"fitting_ths": 400.0, "max_iter": 10, "interpolation_num": 4}, segment={"num": 4096}, icp={"iteration_ths": 20, "mse_ths": 1000.0}, zstd_level=3)
+def _sql_sequence(spark, sf):
+    """The frames and patches to which the SQL of a query limits its result."""
+    return _sequence(spark, sf).where("ts <= 6 and patch < 2")
+
+
+#: Production parameters.
+CODEC = Params()
 
 
 @query()
@@ -459,7 +465,7 @@ def slice_sizes(spark, sf):
 
 @query(f"WITH {POINTS_SQL} SELECT ts, CAST(count(DISTINCT patch) AS INTEGER) AS slice_cnt, list(DISTINCT patch ORDER BY patch) AS index FROM pts WHERE ts <= 6 AND patch < 2 GROUP BY ts")
 def frame_assemble(spark, sf):
-    p = _sequence(spark, sf)
+    p = _sql_sequence(spark, sf)
     return stages.build_frames(stages.compress(p, stages.deform(p, CODEC), CODEC)).select("ts", "slice_cnt", "index")
 
 
@@ -473,7 +479,7 @@ def decoded_quality(spark, sf):
 @query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts WHERE ts <= 6 AND patch < 2) SELECT ts, patch, count(*) AS n, count(*) > 10 AS converged FROM s GROUP BY ALL")
 def icp_align(spark, sf):
     """A known shift of each patch is found again: all that are large enough converge to an error of zero."""
-    p = _sequence(spark, sf)
+    p = _sql_sequence(spark, sf)
     moved = p.withColumns({"x": F.col("x") + 0.2, "y": F.col("y") - 0.1, "z": F.col("z") + 0.15})
     out = registration.register_patches(moved, p, ["ts", "patch"])
     return out.select("ts", "patch", "n", (F.col("converged") & (F.coalesce("mse", F.lit(1.0)) < 1e-9)).alias("converged"))
@@ -499,7 +505,7 @@ def stream_gops(spark, sf):
 @query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch FROM pts WHERE ts <= 6 AND patch < 2) SELECT ts, patch, 0 AS differing FROM s")
 def stream_decode(spark, sf):
     """The stream decodes what the batch decodes: no point differs."""
-    p = _sequence(spark, sf)
+    p = _sql_sequence(spark, sf)
     slices = stages.compress(p, stages.deform(p, CODEC), CODEC)
     stream = streaming.decoded_stream(_as_stream(spark, slices.coalesce(1), "slices"))
     a, b = streaming.drain(stream, "stream_decode"), codec.decode(slices)
