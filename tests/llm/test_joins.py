@@ -289,6 +289,20 @@ def test_near_duplicate_vectors(spark, margin, block, cell):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_of_64_dimensions_over_many_cells(spark):
+    """With the production margin; cells of 60 rows make about 20, whose borders the loose groups straddle."""
+    random_ = np.random.default_rng(5)
+    points = random_.normal(size=(300, 64))
+    rows = np.concatenate([points, *(points[i] + random_.normal(size=(30, 64)) * (0.1 + 0.005 * i) for i in range(30))]).astype(np.float32)
+    units = np.array([embedding_dedup.unit(v) for v in rows])
+    links = np.triu(units @ units.T >= embedding_dedup.THRESHOLD, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, cell_rows=60).collect()}
+    want = links.sum(0) + links.sum(1)
+    print("op3 links", sum(got.values()) // 2, "of", links.sum(), "cells", len(rows) // 60)
+    assert links.sum() > 1000 and all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum()
+
+
 # --- packing ---
 
 
