@@ -53,9 +53,9 @@ def test_vocabulary_file_gives_its_library_s_ids():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(bpe.VOCABULARY)
-    own.encode_special_tokens = True
-    texts = [t or "" for _, t in DOCS] + ["It's <|endoftext|> fine'll 've  \n\n x"]
-    assert [bpe.from_vocabulary().encode_ordinary(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    odd = ["It's <|endoftext|> fine'll 've  \n\n x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "hi  <|endoftext|>  a\n<|endoftext|>\nb", "<|endoftext", "é日 <|endoftext|>'s"]
+    texts = [t or "" for _, t in DOCS] + odd
+    assert [bpe.as_library(bpe.from_vocabulary(), t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 # --- token trees ---
