@@ -69,8 +69,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch so that a slice holds about `most` bytes of the column and one row at least."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    """Cut an Arrow batch so that a slice holds about `most` bytes of the column, of texts or of arrays of 64-bit values, and one row at least."""
+    values = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = sizes.fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
