@@ -8,10 +8,15 @@ pages that have the node,
     presentation importance = -sum(p log p) / log m      over the shares p of its styles
     content importance      = 1 - mean(log c / log m)    over its texts, c the pages with that text
 
-A node with text whose two importances are both low is template: its branch is removed from every
-page of the host. Elements that are never main text, by their meaning (navigation, forms, scripts,
-page heads and feet, adverts, notices, comments), have no importance; where a page marks its
-article, what lies outside it has none either, and the article's branches are judged like any others.
+A node is template if neither its own importances nor those of any node below it are high, and enough pages have
+it; its whole branch is removed from every page of the host. All elements are in the tree, those included
+that are never main text by their meaning: navigation, page heads and feet, forms, scripts, and what a site names
+as adverts, notices or comments, whose texts may differ from page to page. They have no importance of their own.
+
+Where a page marks its article and the marked elements hold at least half of what is left of its text,
+what lies outside them has no importance either; a teaser's mark leaves the rest alone. The branches of a
+marked article are judged like any others, but for pages that are copies of one another: there the tree tells
+copies and not templates, so where over three quarters of a marked article would go, it stays.
 
 The tree is held as sums by (host, path), so a host with a third of all pages is summed like any
 other. The template nodes go to all executors if they number MOST_BROADCAST at most, else pages are
@@ -29,6 +34,7 @@ import html as codes
 import re
 from collections import Counter
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -56,25 +62,37 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 MAIN = frozenset(("article", "main"))
 IN_HEAD = frozenset("base basefont bgsound link meta noframes".split())
 NEVER = frozenset("head nav aside footer form button select option dialog menu object audio video canvas".split())
-#: Names in class, id or role that stand for what is never main text.
-NOISE = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments respond disqus share sharing social related recommended widget toolbar search login complementary contentinfo".split()
+#: How sites name what is never main text, as a whole class, id or role or as the first or last part of one ("ad-slot", "site-footer", "comment-list").
+NAMED = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond share sharing related complementary contentinfo search".split()
 )
+#: Parts that make a name tell of an element's neighbours ("has-comments", "content-with-sidebar", "no-sidebar").
+BESIDE = frozenset("has have with without no not in is hide".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SPLIT = re.compile(r"[^a-z0-9]+")
+PARTS = re.compile(r"[^a-z0-9]+")
 SPLIT_HOST = re.compile(r"[/?#]")
 
 
+def _noise(name: str) -> bool:
+    parts = [x for x in PARTS.split(name) if x]
+    return bool(parts) and (parts[0] in NAMED or parts[-1] in NAMED) and BESIDE.isdisjoint(parts)
+
+
 @lru_cache(maxsize=1 << 16)
-def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+def _named(tag: str, names: str) -> tuple[str, bool, bool]:
     """An element's label in paths, whether it is never main text, and whether it is so only outside an article."""
+    return f"{tag}.{names}", tag in NEVER or (tag not in ("body", "html") and any(map(_noise, names.split()))), tag == "header"
+
+
+def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    if "=" not in attrs and "hidden" not in attrs.lower():
+        return _named(tag, "")
     found = {}
     for name, *values in ATTR.findall(attrs):
         found.setdefault(name.lower(), next((v for v in values if v), ""))
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+    label, noise, head = _named(tag, " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().strip())
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    noise = tag in NEVER or hidden or (tag not in ("body", "html") and not NOISE.isdisjoint(SPLIT.split(names)))
-    return f"{tag}.{names}", noise, tag == "header"
+    return label, noise or hidden, head
 
 
 @lru_cache(maxsize=1 << 16)
@@ -82,19 +100,26 @@ def _below(path: int, label: str) -> int:
     return xxhash.xxh64_intdigest(label, seed=path)
 
 
-def walk(page: str) -> tuple[list[tuple[int, str, bool, int]], dict[int, set[str]]]:
-    """A page's text runs and the labels of the children at each path.
+@dataclass(frozen=True)
+class Run:
+    """Text without a tag in it: the node it stands in, whether in an article, in what is never main text, and its block."""
 
-    A run is (path, text, whether in an article, block number), in page order; text of elements that
-    are never main text is left out.
-    """
-    runs, styles = [], {}
+    path: int
+    text: str
+    inside: bool
+    dropped: bool
+    block: int
+
+
+def walk(page: str) -> tuple[list[Run], dict[int, set[str]], dict[int, int]]:
+    """A page's runs in order, the labels of the children of each node, and the parent of each."""
+    runs, styles, parents = [], {}, {}
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, in an article, dropped
     block, at = 0, 0
 
     def text(end: int) -> None:
-        if end > at and not stack[-1][3]:
-            runs.append((stack[-1][1], page[at:end], stack[-1][2], block))
+        if end > at:
+            runs.append(Run(stack[-1][1], page[at:end], stack[-1][2], stack[-1][3], block))
 
     for found in TAG.finditer(page):
         text(found.start())
@@ -103,13 +128,19 @@ def walk(page: str) -> tuple[list[tuple[int, str, bool, int]], dict[int, set[str
         if tag is None:
             continue
         tag = tag.lower()
+        _, path, inside, dropped = stack[-1]
         if tag in INLINE:
-            if tag == "br" and not stack[-1][3]:
-                runs.append((stack[-1][1], " ", stack[-1][2], block))
-            elif tag not in VOID and not found["end"] and _kind(tag, found["attrs"])[1]:
-                stack.append((tag, stack[-1][1], stack[-1][2], True))
-            elif found["end"] and stack[-1][0] == tag:
-                stack.pop()
+            if tag == "br":
+                runs.append(Run(path, " ", inside, dropped, block))
+            elif found["end"]:
+                for i in range(len(stack) - 1, 0, -1):  # only inline elements that are never main text, and those in them, are on the stack
+                    if stack[i][0] not in INLINE:
+                        break
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
+            elif tag not in VOID and (stack[-1][0] in INLINE or _kind(tag, found["attrs"])[1]):
+                stack.append((tag, path, inside, True))
             continue
         block += 1
         if found["end"]:
@@ -128,10 +159,19 @@ def walk(page: str) -> tuple[list[tuple[int, str, bool, int]], dict[int, set[str
         label, noise, head = _kind(tag, found["attrs"])
         _, path, inside, dropped = stack[-1]
         styles.setdefault(path, set()).add(label)
-        dropped = dropped or noise or (head and not inside)
-        stack.append((tag, _below(path, label), inside or tag in MAIN, dropped))
+        below = _below(path, label)
+        styles.setdefault(below, set())
+        parents[below] = path
+        stack.append((tag, below, inside or tag in MAIN, dropped or noise or (head and not inside)))
     text(len(page))
-    return runs, styles
+    return runs, styles, parents
+
+
+def _above(path: int, parents: dict[int, int]) -> Iterable[int]:
+    """The node and all those it lies in, the page itself left out."""
+    while path:
+        yield path
+        path = parents[path]
 
 
 def _words(raw: str) -> str:
@@ -148,45 +188,61 @@ def node_key(host: str, path: int) -> int:
     return xxhash.xxh64_intdigest(host, seed=path) - (1 << 63)
 
 
+STYLE, TEXT, BELOW = 0, 1, 2
+
+
 def page_nodes(url: str | None, page: str) -> Iterable[tuple[int, int, int]]:
-    """(node, 0, style) for each node of a page, and (node, 1, text) for each text directly in it."""
-    runs, styles = walk(page)
+    """Of each node of a page: (node, STYLE, its children), (node, TEXT, a text directly in it) and (node, BELOW, itself or a node it lies in)."""
+    runs, styles, parents = walk(page)
     host, texts = host_of(url), {}
-    for path, raw, _, block in runs:
-        texts.setdefault((path, block), []).append(raw)
+    for r in runs:
+        texts.setdefault((r.path, r.block), []).append(r.text)
     content: dict[int, set[str]] = {}
     for (path, _), raws in texts.items():
         if found := _words("".join(raws)):
             content.setdefault(path, set()).add(found)
     for path in styles.keys() | content.keys():
+        if not path:
+            continue
         node = node_key(host, path)
-        yield node, 0, xxhash.xxh64_intdigest("|".join(sorted(styles.get(path, ())))) - (1 << 63)
+        yield node, STYLE, xxhash.xxh64_intdigest("|".join(sorted(styles.get(path, ())))) - (1 << 63)
         for found in content.get(path, ()):
-            yield node, 1, xxhash.xxh64_intdigest(found) - (1 << 63)
+            yield node, TEXT, xxhash.xxh64_intdigest(found) - (1 << 63)
+        for above in _above(path, parents):
+            yield node, BELOW, node_key(host, above)
 
 
 def main_text(url: str | None, page: str, template) -> str:
     """The page's blocks, one a line. template: tells of a list of nodes which are template."""
-    runs, _ = walk(page)
-    if any(inside for _, _, inside, _ in runs):
-        runs = [r for r in runs if r[2]]
-    if runs:
-        host = host_of(url)
-        paths = list({r[0] for r in runs})
-        gone = {p for p, t in zip(paths, template([node_key(host, p) for p in paths]), strict=True) if t}
-        runs = [r for r in runs if r[0] not in gone]
+    runs, _, parents = walk(page)
+    runs = [r for r in runs if not r.dropped]
+    host = host_of(url)
+    paths = list({p for r in runs for p in _above(r.path, parents)})
+    noted = {p for p, t in zip(paths, template([node_key(host, p) for p in paths]), strict=True) if t} if paths else set()
+    gone = {p for p in {r.path for r in runs} if not noted.isdisjoint(_above(p, parents))} if noted else set()
+    sizes = [len(r.text) - r.text.count(" ") for r in runs]
+    marked = sum(n for r, n in zip(runs, sizes, strict=True) if r.inside)
+    left = sum(n for r, n in zip(runs, sizes, strict=True) if r.inside and r.path not in gone)
+    copied = 4 * left < marked  # most of the marked article is on other pages too: copies
+    runs = [r for r in runs if r.path not in gone or (r.inside and copied)]
+    outside = sum(len(r.text) - r.text.count(" ") for r in runs if not r.inside)
+    if marked and outside <= (marked if copied else left):
+        runs = [r for r in runs if r.inside]
     blocks: list[list[str]] = []
     last = None
-    for _, raw, _, block in runs:
-        if block != last:
+    for r in runs:
+        if r.block != last:
             blocks.append([])
-            last = block
-        blocks[-1].append(raw)
+            last = r.block
+        blocks[-1].append(r.text)
     return "\n".join(x for x in (_words("".join(b)) for b in blocks) if x)
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """(node, pages, presentation, content): the importances of each node that holds text, over all pages of its host."""
+    """(node, kind BELOW, above, pages, presentation, content): the importances of each node, over all pages of its host, for itself and each node it lies in.
+
+    A node that one page alone has is of full importance, one without text of its own has no content importance.
+    """
 
     def run(texts: list[str], rest: dict) -> dict:
         sums = Counter(x for url, page in zip(rest["url"].to_pylist(), texts, strict=True) for x in page_nodes(url, page))
@@ -194,22 +250,33 @@ def site_tree(pages: DataFrame) -> DataFrame:
         return {"node": node, "kind": kind, "feature": feature, "n": list(sums.values())}
 
     seen = map_texts(pages.select("url", "html"), "html", run, "node long, kind int, feature long, n long")
-    sums = seen.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n"))
-    n, style = F.col("n"), F.col("kind") == 0
-    nodes = sums.groupBy("node").agg(
+    sums = keep(seen.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), "site-sums")
+    n, style, text = F.col("n"), F.col("kind") == STYLE, F.col("kind") == TEXT
+    nodes = sums.where(style | text).groupBy("node").agg(
         F.sum(F.when(style, n)).alias("pages"),
         F.sum(F.when(style, n * F.log(n.cast("double")))).alias("n_log_n"),
-        F.avg(F.when(~style, F.log(n.cast("double")))).alias("log_c"),
+        F.avg(F.when(text, F.log(n.cast("double")))).alias("log_c"),
     )
     m = F.log(F.col("pages").cast("double"))
-    return nodes.where("pages > 1 and log_c is not null").select(
-        "node", "pages", ((m - F.col("n_log_n") / F.col("pages")) / m).alias("presentation"), (1 - F.col("log_c") / m).alias("content")
+    alone = F.col("pages") < 2
+    known = nodes.select(
+        "node",
+        "pages",
+        F.when(alone, 1.0).otherwise((m - F.col("n_log_n") / F.col("pages")) / m).alias("presentation"),
+        F.when(F.col("log_c").isNotNull(), F.when(alone, 1.0).otherwise(1 - F.col("log_c") / m)).alias("content"),
     )
+    return known.join(sums.where(F.col("kind") == BELOW).select("node", F.col("feature").alias("above")), "node")
+
+
+def template_nodes(tree: DataFrame) -> DataFrame:
+    """The nodes whose whole branches are template."""
+    high = F.expr(f"presentation > {LOW_PRESENTATION} or coalesce(content, 0) > {LOW_CONTENT} or pages < {LEAST_PAGES}")
+    return tree.groupBy(F.col("above").alias("node")).agg(F.max(high).alias("high")).where("not high").select("node")
 
 
 def extract_text(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars."""
-    template = keep(site_tree(pages).where(f"pages >= {LEAST_PAGES} and presentation <= {LOW_PRESENTATION} and content <= {LOW_CONTENT}").select("node"), "template")
+    template = keep(template_nodes(site_tree(pages)), "template")
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select("page_id", "url", "html")
     if template.count() <= most_broadcast:
@@ -229,7 +296,7 @@ def extract_text(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Data
         return map_texts(rows, "html", run, schema)
 
     def nodes_of(texts: list[str], rest: dict) -> dict:
-        found = [sorted({n for n, kind, _ in page_nodes(u, x) if kind}) for u, x in zip(rest["url"].to_pylist(), texts, strict=True)]
+        found = [sorted({n for n, kind, _ in page_nodes(u, x) if kind == STYLE}) for u, x in zip(rest["url"].to_pylist(), texts, strict=True)]
         return {"url": rest["url"], "html": texts, "nodes": found}
 
     def run_joined(texts: list[str], rest: dict) -> dict:

@@ -160,6 +160,57 @@ def test_template_branches_go_from_marked_articles_too(spark, tag):
         assert rows(html_text.extract_text(pages, bound), "page_id", "text") == sorted([(i, f"Own words {i} of page {i}") for i in range(12)], key=str)
 
 
+def test_names_that_tell_of_neighbours_and_nested_inline_adverts():
+    none = lambda asked: [False] * len(asked)
+    for page, want in [
+        ('<article class="post has-comments"><p>kept</p></article>', "kept"),
+        ('<div class="content-with-sidebar"><p>kept</p></div>', "kept"),
+        ('<div class="entry no-sidebar">kept</div><div class="left-sidebar">gone</div>', "kept"),
+        ('<p>kept <span class="ad"><span>in</span> leaked</span> too</p>', "kept too"),
+        ('<article class="teaser">short</article><div><p>the body of the page lies outside of its teaser</p></div>', "short\nthe body of the page lies outside of its teaser"),
+        ('<main><p>all the words of the article stand here</p></main><div>more</div>', "all the words of the article stand here"),
+        ('<ol class="comment-list"><li id="comment-7">gone</li></ol><div role="navigation">gone</div><p hidden>gone</p>kept', "kept"),
+    ]:
+        assert html_text.main_text("http://a.example", page, none) == want
+
+
+def test_importances_are_brute_force(spark):
+    """Presentation, content and the branch rule, computed page by page from the definitions."""
+    import math
+
+    pages = [f"<body><div class='top'><p>Same</p><ul>{'<li>x</li>' * (i % 2)}</ul></div><article><h1>Title {i}</h1>{'<p>words %d</p>' % i * (i % 3)}<div class='box'><p>About us</p><em>all</em></div></article></body>" for i in range(9)]
+    rows_ = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    seen = {}
+    for _, url, page in rows_:
+        for node, kind, feature in html_text.page_nodes(url, page):
+            entry = seen.setdefault(node, ([], [], set()))
+            entry[2].add(feature) if kind == html_text.BELOW else entry[kind].append(feature)
+    want = {}
+    for node, (styles, texts, above) in seen.items():
+        m = len(styles)
+        p = [styles.count(x) / m for x in set(styles)]
+        presentation = 1.0 if m < 2 else -sum(x * math.log(x) for x in p) / math.log(m)
+        content = None if not texts else 1.0 if m < 2 else sum(1 - math.log(texts.count(t)) / math.log(m) for t in set(texts)) / len(set(texts))
+        want[node] = (m, presentation, content, above)
+    tree = html_text.site_tree(spark.createDataFrame(rows_, "page_id long, url string, html string"))
+    got = {}
+    for r in tree.collect():
+        got.setdefault(r.node, (r.pages, r.presentation, r.content, set()))[3].add(r.above)
+    assert got.keys() == want.keys() and len(got) >= 8
+    for node, (m, p, c, above) in want.items():
+        assert got[node][0] == m and math.isclose(got[node][1], p, abs_tol=1e-9) and got[node][3] == above
+        assert (got[node][2] is None) == (c is None) and (c is None or math.isclose(got[node][2], c, abs_tol=1e-9))
+    high = lambda n: want[n][1] > html_text.LOW_PRESENTATION or (want[n][2] or 0) > html_text.LOW_CONTENT or want[n][0] < html_text.LEAST_PAGES
+    branch = {n for n in want if not any(high(d) for d in want if n in want[d][3])}
+    assert {r.node for r in html_text.template_nodes(tree).collect()} == branch and branch
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    page = "<body><article><h1>One</h1><p>The same article under another address</p></article></body>"
+    pages = spark.createDataFrame([(i, f"http://s.example/{i}", page) for i in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract_text(pages).collect()} == {"One\nThe same article under another address"}
+
+
 # --- licenses ---
 
 
