@@ -39,7 +39,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
