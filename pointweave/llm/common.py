@@ -6,6 +6,8 @@ are called, neither reach it nor clash with its own.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +70,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a worker process is reused by later tasks and would hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c_library(), "malloc_trim"):
+        _c_library().malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a slice holds about `most` bytes of the column, of texts or of arrays of 64-bit values, and one row at least."""
     values = batch.column(column)
@@ -99,6 +113,7 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[list, dict], dict], sche
                     [v if isinstance(v, pa.Array) else pa.array(v, type=t) for (_, t), v in zip(types, out.values(), strict=True)],
                     names=[n for n, _ in types],
                 )
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

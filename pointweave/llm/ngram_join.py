@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, few, keep, map_texts, slices, table, texts_of
+from .common import drop_kept, few, give_back, keep, map_texts, slices, table, texts_of
 from .graph import components
 from .shingles import shingle_set
 
@@ -124,6 +124,7 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 hold.append(100 * same >= PERCENT * (len(p) + len(q) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
+        give_back()
 
     return keep(both.mapInArrow(run, "a long, b long"), "links")
 

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import keep, map_texts, table, texts_of
+from .common import give_back, keep, map_texts, table, texts_of
 
 SEQUENCE, SEPARATOR = 2048, 1
 #: Large shards cost CPU time in proportion, but a seed can see no further than its own: tables within these bounds are searched whole.
 SHARD_DOCS, SHARD_IDS = 16_384, 1 << 25
 #: Tokens of a shard whose postings are columns, and seeds that are scored at once.
-DENSE, SEEDS = 2048, 48
+DENSE, SEEDS = 1024, 48
 K1, B = 1.2, 0.75
 #: Ids at the start of a vocabulary are its commonest; a token's weight in the sign rises with its id.
 SIGN_POWER = 3.0
@@ -256,6 +256,8 @@ def packed(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, separator: int = S
                     offset += n
                 base += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
+            del shard, texts, out
+            give_back()
 
     # ranges are drawn by sampling, so a shard of full size may be followed by a smaller one
     ranges = max(1, -(-total["docs"] // shard_docs), -(-(total["ids"] or 0) // shard_ids))

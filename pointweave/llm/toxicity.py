@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table, texts_of
+from .common import give_back, map_texts, slices, table, texts_of
 
 #: Bounds of the sample that the model is fitted on.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -210,5 +210,6 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 yield part.filter(pa.array([s < 0.5 for s in score(texts, model)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
