@@ -51,6 +51,26 @@ def matrix_product(a: Column | str, b: Column | str) -> Column:
     return F.array(*(sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)))
 
 
+def matrix_inverse(mv: Column | str) -> Column:
+    """The inverse of a row-major 4x4 array by its cofactors; null where it has none. mv is named often: better a stored column than an expression."""
+    mv = _col(mv)
+
+    def minor(rows: list[int], columns: list[int]) -> Column:
+        (r0, r1, r2), (c0, c1, c2) = rows, columns
+        at = lambda r, c: mv[4 * r + c]
+        return at(r0, c0) * (at(r1, c1) * at(r2, c2) - at(r1, c2) * at(r2, c1)) - at(r0, c1) * (at(r1, c0) * at(r2, c2) - at(r1, c2) * at(r2, c0)) + at(r0, c2) * (at(r1, c0) * at(r2, c1) - at(r1, c1) * at(r2, c0))
+
+    others = lambda i: [k for k in range(4) if k != i]
+    cofactor = lambda i, j: minor(others(i), others(j)) * (-1) ** (i + j)
+    whole = mv[0] * cofactor(0, 0) + mv[1] * cofactor(0, 1) + mv[2] * cofactor(0, 2) + mv[3] * cofactor(0, 3)
+    return F.when(whole != 0, F.transform(F.array(*(cofactor(j, i) for i in range(4) for j in range(4))), lambda c: c / whole))
+
+
+def shown_colour(value: Column | str, points: Column | str, least: int = 10) -> Column:
+    """A colour from 0 to 1 as it is shown: slices of fewer points than `least` are white."""
+    return F.when(_col(points) < least, F.lit(1.0)).otherwise(_col(value))
+
+
 def rigid_inverse(mv: Column | str) -> Column:
     """The inverse of a rotation with a shift."""
     mv = _col(mv)
@@ -106,8 +126,14 @@ def tree_height(extent: Column | str, resolution: Column | float = 1.0) -> Colum
     """Levels of a tree over a cloud of this extent; one for a single place."""
     extent = _col(extent).cast("double")
     res = resolution if isinstance(resolution, Column) else F.lit(float(resolution))
-    safe = F.when(extent > 0, extent).otherwise(F.lit(1.0))
-    return F.when(extent > 0, F.ceil(F.log2(safe)) - F.ceil(F.log2(res)) + 1).otherwise(F.lit(1)).cast("int")
+    return F.when(extent > 0, power_above(extent) - power_above(res) + 1).otherwise(F.lit(1)).cast("int")
+
+
+def power_above(x: Column) -> Column:
+    """The least whole n with 2 ** n >= x, for x over 0; log2 of a power of two may come out beside its exponent."""
+    n = F.ceil(F.log2(F.when(x > 0, x).otherwise(F.lit(1.0))))
+    n = n - F.when(F.pow(F.lit(2.0), n - 1) >= x, 1).otherwise(0)
+    return n + F.when(F.pow(F.lit(2.0), n) < x, 1).otherwise(0)
 
 
 def haar(a, b, wa, wb) -> tuple[Column, Column]:

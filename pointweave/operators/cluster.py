@@ -91,50 +91,54 @@ def grid_seeds(points: DataFrame, by: list[str], per_patch: int, blocks: int) ->
     return chosen.select(*by, number.cast("int").alias("cluster"), *(f"c{a}" for a in AXES))
 
 
-def close_clusters(assigned: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """(by..., a, b, n): how many points of a have more than CLOSE_POINTS points of b within the radius."""
+def close_points(assigned: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """(by..., pid, a, b, hits): how many points of another cluster b lie within the radius of a point of cluster a."""
     targets = assigned.select(*by, F.col("pid").alias("tid"), "cluster", *AXES)
     pairs = within_radius(assigned.withColumnRenamed("pid", "qid"), targets, radius, tuple(by))
     named = pairs.join(assigned.select(*by, F.col("pid").alias("qid"), F.col("cluster").alias("a")), [*by, "qid"]).join(targets.select(*by, "tid", F.col("cluster").alias("b")), [*by, "tid"])
-    near = named.where("a <> b").groupBy(*by, "a", "b", "qid").agg(F.count("*").alias("hits")).where(f"hits > {CLOSE_POINTS}")
-    return near.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+    return named.where("a <> b").groupBy(*by, F.col("qid").alias("pid"), "a", "b").agg(F.count("*").alias("hits"))
 
 
-def merge_plan(sizes: dict[int, int], close: dict[tuple[int, int], int], most: float) -> dict[int, int]:
-    """Which cluster each one ends in.
+def merge_plan(sizes: dict[int, int], close: np.ndarray, most: float) -> dict[int, int]:
+    """Which cluster each one ends in. close: rows (point, its cluster, another cluster, its points near the point).
 
-    From the last cluster back: of the earlier ones with which it fits into `most` points, the first
-    whose points it is close to takes it. The pass ends at the first cluster that fits with none.
-    Closeness to a merged cluster is that to any of its members.
+    From the last cluster back: of the earlier ones with which it fits into `most` points, the first to
+    which it is close takes it, and the pass ends at the first cluster that fits with none. A cluster is
+    close to another if more than CLOSE_POINTS of its points have more than CLOSE_POINTS points of the
+    other near them, both taken with all that they have been merged with.
     """
-    order = sorted(sizes)
-    members = {c: {c} for c in order}
-    size = dict(sizes)
-    at = len(order) - 1
-    while at > 0:
-        cur = order[at]
-        fits = [k for k in order[:at] if size[cur] + size[k] <= most]
+    order, size, into = sorted(sizes), dict(sizes), {c: c for c in sizes}
+    point, own, other, hits = close[:, 0], close[:, 1].copy(), close[:, 2].copy(), close[:, 3]
+    for cur in reversed(order[1:]):
+        fits = [k for k in order if k < cur and size[cur] + size[k] <= most]
         if not fits:
             break
-        near = [k for k in fits if any(sum(close.get((a, b), 0) for b in members[k]) > CLOSE_POINTS for a in members[cur])]
+        mine = np.flatnonzero(own == cur)
+        pairs, at = np.unique(np.stack((point[mine], other[mine]), 1), axis=0, return_inverse=True)
+        dense = np.bincount(at.ravel(), hits[mine], len(pairs)) > CLOSE_POINTS
+        counts = dict(zip(*np.unique(pairs[dense, 1], return_counts=True), strict=True))
+        near = [k for k in fits if counts.get(k, 0) > CLOSE_POINTS]
         if near:
             size[near[0]] += size.pop(cur)
-            members[near[0]] |= members.pop(cur)
-            order.remove(cur)
-        at -= 1
-    return {c: k for k, cs in members.items() for c in cs}
+            into = {c: near[0] if k == cur else k for c, k in into.items()}
+            own[own == cur] = near[0]
+            other[other == cur] = near[0]
+    return into
 
 
 def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) -> DataFrame:
-    """points with clusters merged as merge_plan says, per cloud, and renumbered without gaps."""
-    sizes = assigned.groupBy(*by, "cluster").agg(F.count("*").alias("n")).select(*by, F.col("cluster").alias("a"), F.lit(None).cast("int").alias("b"), "n")
-    table = sizes.unionByName(close_clusters(assigned, by, radius).select(*by, "a", "b", "n"))
+    """points with clusters merged as merge_plan says, per cloud, and renumbered without gaps.
 
+    A cloud's points that lie near another cluster meet in one task; a frame's points bound them.
+    """
+    own = F.lit(None).cast("long")
+    sizes = assigned.groupBy(*by, "cluster").agg(F.count("*").alias("hits")).select(*by, own.alias("pid"), F.col("cluster").alias("a"), F.lit(None).cast("int").alias("b"), "hits")
+    table = sizes.unionByName(close_points(assigned, by, radius).select(*by, F.col("pid").cast("long").alias("pid"), "a", "b", "hits"))
     keys = list(by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        own, pairs = group[group["b"].isna()], group[group["b"].notna()]
-        into = merge_plan(dict(zip(own["a"], own["n"], strict=True)), {(int(a), int(b)): int(n) for a, b, n in pairs[["a", "b", "n"]].itertuples(index=False)}, num * (1 + TOLERANCE))
+        counted, close = group[group["b"].isna()], group[group["b"].notna()]
+        into = merge_plan(dict(zip(counted["a"].tolist(), counted["hits"].tolist(), strict=True)), close[["pid", "a", "b", "hits"]].to_numpy(np.int64), num * (1 + TOLERANCE))
         kept = {k: i for i, k in enumerate(sorted(set(into.values())))}
         return pd.DataFrame({**{c: group[c].iloc[0] for c in keys}, "cluster": list(into), "patch": [kept[k] for k in into.values()]})
 

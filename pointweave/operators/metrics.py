@@ -53,6 +53,11 @@ def quality(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     return mse.select(*by, psnr("geometry", PEAK_GEOMETRY).alias("geometry_psnr"), psnr("y", PEAK_LUMA).alias("luma_psnr"))
 
 
+def mean_quality(scores: DataFrame, *by: str) -> DataFrame:
+    """frames, and the means of their PSNRs; frames without a score count in neither mean."""
+    return scores.groupBy(*by).agg(F.count("*").alias("frames"), F.avg("geometry_psnr").alias("geometry_psnr"), F.avg("luma_psnr").alias("luma_psnr"))
+
+
 def stream_sizes(slices: DataFrame) -> DataFrame:
     """Slices and bytes per frame, and of all frames (ts null), with the bit rate of the whole."""
     sums = slices.rollup("ts").agg(F.count("*").alias("slices"), F.sum("bytes").alias("bytes"), F.countDistinct("ts").alias("_frames"))

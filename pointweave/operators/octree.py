@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import power_above
+
 AXES = ("x", "y", "z")
 MOST_DEPTH = 20
 
@@ -21,10 +23,8 @@ def tree_frame(points: DataFrame, *by: str, resolution: float = 1.0) -> DataFram
     ends = points.groupBy(*by).agg(*(f(a).cast("double").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))))
     extent = F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES))
     extent = F.when(extent > 0, extent).otherwise(F.lit(1.0))
-    power = F.ceil(F.log2(extent))
-    # log2 of a power of two may come out above its exponent; the smaller power serves if it covers the extent
-    power = power - F.when(F.pow(F.lit(2.0), power - 1) >= extent, 1).otherwise(0)
-    depth = F.greatest(power - F.ceil(F.log2(F.lit(float(resolution)))), F.lit(0))
+    power = power_above(extent)
+    depth = F.greatest(power - power_above(F.lit(float(resolution))), F.lit(0))
     return ends.select(*by, *(((F.col(f"max_{a}") + F.col(f"min_{a}")) / 2).alias(f"c{a}") for a in AXES), F.pow(F.lit(2.0), power).alias("edge"), depth.cast("int").alias("depth"))
 
 
@@ -90,11 +90,12 @@ def raht(leaf: DataFrame, *by: str, values: tuple[str, ...] = ("r", "g", "b")) -
 
     Leaves have weight 1. A node splits along x (idx 1), then y (2, 3), then z (4 to 7).
     """
-    down = ancestors(leaf, *by, *values).withColumn("split", F.explode(_splits()))
-    sides = down.select(*by, "level", "prefix", "split.*", *values)
+    # the sums of a node's children first: at most eight rows of a node are split three times, not all its leaves
+    children = ancestors(leaf, *by, *values).groupBy(*by, "level", "prefix", "digit").agg(F.count("*").alias("w"), *(F.sum(v).alias(v) for v in values))
+    sides = children.withColumn("split", F.explode(_splits())).select(*by, "level", "prefix", "split.*", "w", *values)
     one = F.col("side") == 1
     sums = sides.groupBy(*by, "level", "prefix", "idx").agg(
-        F.sum((~one).cast("long")).alias("n0"), F.sum(one.cast("long")).alias("n1"), *(F.sum(F.when(one == bool(s), F.col(v)).otherwise(0.0)).alias(f"{v}_{s}") for v in values for s in (0, 1))
+        F.sum(F.when(one, 0).otherwise(F.col("w"))).alias("n0"), F.sum(F.when(one, F.col("w")).otherwise(0)).alias("n1"), *(F.sum(F.when(one == bool(s), F.col(v)).otherwise(0.0)).alias(f"{v}_{s}") for v in values for s in (0, 1))
     )
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     high = [((F.sqrt(n0 / n1) * F.col(f"{v}_1") - F.sqrt(n1 / n0) * F.col(f"{v}_0")) / F.sqrt(n0 + n1)).alias(v) for v in values]
@@ -106,11 +107,15 @@ def raht(leaf: DataFrame, *by: str, values: tuple[str, ...] = ("r", "g", "b")) -
 
 def inverse_raht(coefficients: DataFrame, leaf: DataFrame, *by: str, values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """by..., key and the values of each leaf. coefficients as from raht; leaf: by..., depth, key."""
-    down = ancestors(leaf.select(*by, "depth", "key"), *by).withColumn("split", F.explode(_splits())).select(*by, "key", "level", "prefix", "split.*")
-    ac = coefficients.where("level >= 0")
+    # what a node's coefficients add to each of its children is summed first, so that a leaf meets one row a level
+    ac = coefficients.where("level >= 0").withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    within = "idx = 1 or (idx in (2, 3) and shiftright(digit, 2) = idx - 2) or (idx >= 4 and shiftright(digit, 1) = idx - 4)"
+    side = F.expr("shiftright(digit, case when idx = 1 then 2 when idx < 4 then 1 else 0 end) & 1")
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    share = F.when(F.col("side") == 1, F.sqrt(n0 / n1)).otherwise(-F.sqrt(n1 / n0)) / F.sqrt(n0 + n1)
-    steps = down.join(ac, [*by, "level", "prefix", "idx"]).groupBy(*by, "key").agg(*(F.sum(share * F.col(v)).alias(f"_{v}") for v in values))
+    share = F.when(side == 1, F.sqrt(n0 / n1)).otherwise(-F.sqrt(n1 / n0)) / F.sqrt(n0 + n1)
+    child = ac.where(within).groupBy(*by, "level", "prefix", F.col("digit").cast("long").alias("digit")).agg(*(F.sum(share * F.col(v)).alias(f"_{v}") for v in values))
+    down = ancestors(leaf.select(*by, "depth", "key"), *by).select(*by, "key", "level", "prefix", F.col("digit").cast("long").alias("digit"))
+    steps = down.join(child, [*by, "level", "prefix", "digit"]).groupBy(*by, "key").agg(*(F.sum(f"_{v}").alias(f"_{v}") for v in values))
     base = coefficients.where("level = -1").select(*by, *((F.col(v) / F.sqrt(F.col("n0").cast("double"))).alias(v) for v in values))
     out = leaf.select(*by, "key").join(base, list(by)).join(steps, [*by, "key"], "left")
     return out.select(*by, "key", *((F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v) for v in values))

@@ -67,9 +67,12 @@ def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k:
     for _ in range(most_rounds):
         dealt = own.select("*", *(F.floor(F.col(f"t{a}") / edge).alias(c) for a, c in zip(AXES, cells, strict=True)))
         met = _around(left, edge, cells).join(dealt, [*by, *cells]).withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz")))
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-        near = ranked.join(known, list(by)) if by else ranked.crossJoin(F.broadcast(known))  # a single row
-        sure = near.where(f"d2 <= {edge * edge}D").withColumn("_got", F.count("*").over(Window.partitionBy(*by, "qid"))).where("_got = _most")
+        if k == 1:  # a minimum, summed before the shuffle
+            sure = met.groupBy(*by, "qid").agg(F.min(F.struct("d2", "tid")).alias("m")).select(*by, "qid", "m.tid", "m.d2", F.lit(1).alias("rank")).where(f"d2 <= {edge * edge}D")
+        else:
+            ranked = met.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
+            near = ranked.join(known, list(by)) if by else ranked.crossJoin(F.broadcast(known))  # a single row
+            sure = near.where(f"d2 <= {edge * edge}D").withColumn("_got", F.count("*").over(Window.partitionBy(*by, "qid"))).where("_got = _most")
         found = staged(sure.select(*by, "qid", "tid", "d2", "rank"), "nearest")
         done = found if done is None else done.unionByName(found)
         left = staged(left.join(found.select(*by, "qid").distinct(), [*by, "qid"], "left_anti"), "unmet")

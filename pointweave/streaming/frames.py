@@ -7,6 +7,7 @@ takes bounds what is in flight.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.codec import POINT_SCHEMA, Decoder, decode_rows
+from ..plans.store import shared_folder
 from ..schemas import SLICES
 from ..sources.formats import slice_of
 
@@ -72,10 +74,20 @@ def windowed_counts(events: DataFrame, length: str, late: str, *keys: str, ts: s
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, and gives its results as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what is there, and gives its results as a table in the shared folder.
+
+    A trigger's rows are a folder of its own, written anew if the trigger is; in mode complete the last one is the result.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    each = "batch=0" if mode == "complete" else "batch={}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{each.format(batch)}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", f"{path}-offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
 
 
 def stage_times(query) -> dict[str, float]:
