@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, map_texts, table
+from .common import drop_kept, keep, map_texts, table
 
 #: Pages that must share a node before it is judged, and importances up to which it is template.
 LEAST_PAGES, LOW_PRESENTATION, LOW_CONTENT = 3, 0.5, 0.3
@@ -276,11 +276,14 @@ def template_nodes(tree: DataFrame) -> DataFrame:
 
 def extract_text(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars."""
-    template = keep(template_nodes(site_tree(pages)), "template")
+    tree = site_tree(pages)
+    template = keep(template_nodes(tree), "template")
+    drop_kept(tree)
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select("page_id", "url", "html")
     if template.count() <= most_broadcast:
         nodes = np.sort(np.array([r["node"] for r in template.collect()], np.int64))
+        drop_kept(template)
         shared = pages.sparkSession.sparkContext.broadcast(nodes)
 
         def among(asked: list[int]) -> list[bool]:

@@ -6,8 +6,8 @@ payload as RGB pages of 64 pixels a line, so a line is 192 bytes, with a layout
 number of lines alone: equal texts give equal files.
 
 Results in special cases: a null or empty text is stored as one line of blanks; texts are stored
-whole, over as many pages as they need; a null file has no pages; a file that isn't TIFF raises
-ValueError; rows are independent, so repeated rows give repeated results and an empty table an empty
+whole, over as many pages as they need; a null file has no pages; a file that isn't TIFF, is cut
+short, or holds planar samples or such of other than 8 bits raises ValueError; rows are independent, so repeated rows give repeated results and an empty table an empty
 one; only doc_id and text (or media) are read.
 """
 
@@ -208,9 +208,14 @@ def write_pages(payload: bytes, scheme: tuple[int, int, bool] | None = None, str
 
 
 def read_pages(media: bytes | None) -> Iterator[Page]:
-    """The pages of a TIFF file of either byte order, in the order of its directories."""
-    if media is None:
-        return
+    """The pages of a TIFF file of either byte order, in the order of its directories; a file that ends too early raises ValueError."""
+    try:
+        yield from _read(media or b"") if media is not None else ()
+    except (struct.error, IndexError, KeyError, zlib.error) as e:
+        raise ValueError(f"a broken TIFF file: {e}") from e
+
+
+def _read(media: bytes) -> Iterator[Page]:
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
     if not order or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise ValueError("no TIFF file")

@@ -109,6 +109,15 @@ def test_big_endian_file_and_errors():
         list(tiff.read_pages(b"nothing"))
 
 
+def test_cut_files_are_value_errors():
+    media = tiff.write_pages(tiff.payload_of("some text " * 60))
+    for end in range(0, len(media), 7):
+        try:
+            assert sum(len(p.pixels) for p in tiff.read_pages(media[:end])) <= 4 * len(media) + 1024
+        except ValueError:
+            pass
+
+
 def test_texts_as_pages(docs):
     got = rows(tiff.media_digests(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     want = []
