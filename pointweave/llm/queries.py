@@ -12,6 +12,7 @@ from .licenses import op10_license_scan
 from .line_dedup import op5_line_dedup
 from .ngram_join import PERCENT, op8_ngram_join
 from .packing import op2_packing
+from .quality import MIN_WORDS, MOST_REPEATED, SYMBOLS, op11_quality_rules
 from .tiff import op7_tiff_pages
 from .token_tree import op4_token_counts
 from .toxicity import op1_toxicity
@@ -29,6 +30,10 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -40,9 +45,11 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
+    "op11_quality_rules": op11_quality_rules,
     "held_out_split": held_out_split,
     "tiff_payloads": tiff_payloads,
     "license_places": license_places,
+    "quality_counts": quality_counts,
 }
 
 #: A-Z as a-z, no other letter.
@@ -91,4 +98,15 @@ ORACLE_SQL: dict[str, str] = {
         sums AS (SELECT doc_id, count(*) AS k, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels
         FROM words LEFT JOIN sums USING (doc_id)""",
+    "quality_counts": f"""
+        WITH words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words),
+        repeats AS (SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+        windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: [w[k], w[k + 1], w[k + 2]])) AS win FROM words),
+        twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) AS r(k) GROUP BY doc_id),
+        counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(repeats.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+            FROM words LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id))
+        SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counts""",
 }
