@@ -5,6 +5,7 @@ The queries named without opN_ are columns of an operator's result that SQL can
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_tokenizer_alignment
 from .bpe_tree import op6_bpe_tree
 from .embedding_dedup import THRESHOLD, op3_embedding_dedup
 from .html_text import op9_html_text
@@ -13,6 +14,7 @@ from .line_dedup import op5_line_dedup
 from .ngram_join import PERCENT, op8_ngram_join
 from .packing import op2_packing
 from .quality import MIN_WORDS, MOST_REPEATED, SYMBOLS, op11_quality_rules
+from .search import BEST, op12_wand_search
 from .tiff import op7_tiff_pages
 from .token_tree import op4_token_counts
 from .toxicity import op1_toxicity
@@ -46,6 +48,8 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
     "op11_quality_rules": op11_quality_rules,
+    "op12_wand_search": op12_wand_search,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "held_out_split": held_out_split,
     "tiff_payloads": tiff_payloads,
     "license_places": license_places,
@@ -109,4 +113,15 @@ ORACLE_SQL: dict[str, str] = {
             CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(repeats.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
             FROM words LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id))
         SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counts""",
+    "op12_wand_search": f"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+        sizes AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM texts WHERE len(t) > 0),
+        whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+        found AS (SELECT doc_id, x, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(t) AS x FROM texts) GROUP BY ALL),
+        asked AS (SELECT DISTINCT item_id, x FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark)),
+        weights AS (SELECT x, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM found, whole GROUP BY x, docs),
+        scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+            FROM asked JOIN found USING (x) JOIN weights USING (x) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= {BEST}""",
 }
