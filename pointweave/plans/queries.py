@@ -16,6 +16,7 @@ from ..functions import scalar as fn
 from ..functions.entropy import rlgr_decode_udf, rlgr_encode_udf, zstd_decode_udf, zstd_encode_udf
 from ..operators import cluster, codec, metrics, octree, registration, spatial, windows
 from ..params import Params
+from ..sources.registered import save_as
 from ..streaming import frames as streaming
 from . import stages
 from .store import shared_folder, staged
@@ -503,30 +504,107 @@ def icp_align(spark, sf):
     return out.select("ts", "patch", "n", (F.col("converged") & (F.coalesce("mse", F.lit(1.0)) < 1e-9)).alias("converged"))
 
 
+# --- files ---
+
+#: Months from 1992 on, so that a file's name can hold them.
+MONTH = 36
+SLICES_SQL = f"""{POINTS_SQL}, slices AS (SELECT CAST(ts + {MONTH} AS INTEGER) AS ts, patch, CAST(CASE WHEN ts % 4 = 0 THEN 1 ELSE 3 END AS SMALLINT) AS type, count(*) AS size, CAST(CASE WHEN ts % 4 = 0 THEN 10 ELSE 30 END AS SMALLINT) AS qp,
+ CASE WHEN ts % 4 = 0 THEN md5(string_agg(CAST(CAST(x + 100 * y AS BIGINT) AS VARCHAR), ',' ORDER BY x + 100 * y)) END AS geometry, md5(string_agg(CAST(r AS VARCHAR), ',' ORDER BY r)) AS color FROM pts GROUP BY ts, patch)"""
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+def _slices(spark, sf):
+    """A slice for each frame and patch, whose parts are the coordinates and colours as text."""
+    text = lambda c: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(c.cast("long"))), lambda v: v.cast("string"))).cast("binary")
+    intra = F.col("ts") % 4 == 0
+    p = points(spark, sf).groupBy("ts", "patch").agg(F.count("*").alias("size"), text(F.col("x") + 100 * F.col("y")).alias("geometry"), text(F.col("r")).alias("color"))
+    return p.select(
+        (F.col("ts") + MONTH).alias("ts"), "patch", F.when(intra, 1).otherwise(3).cast("short").alias("type"), "size", F.when(intra, 10).otherwise(30).cast("short").alias("qp"),
+        F.array(*(F.lit(float(i % 5 == 0)) for i in range(16))).alias("mv"), F.when(intra, F.col("geometry")).alias("geometry"), "color",
+    )
+
+
+def _digests(slices: DataFrame) -> DataFrame:
+    return slices.select("ts", "patch", "type", "size", "qp", F.md5("geometry").alias("geometry"), F.md5("color").alias("color"))
+
+
+def _through(spark, df: DataFrame, suffix: str) -> DataFrame:
+    folder = _folder(spark, suffix)
+    save_as(df, suffix, folder)
+    return spark.read.format(suffix).load(folder)
+
+
+@query(f"WITH {SLICES_SQL} SELECT * FROM slices")
+def slice_files(spark, sf):
+    """Slices written as files by the sink and read again by their manifest."""
+    return _digests(_through(spark, _slices(spark, sf), "slice"))
+
+
+@query(f"WITH {SLICES_SQL} SELECT * FROM slices")
+def frame_files(spark, sf):
+    return _digests(_through(spark, _slices(spark, sf), "frame"))
+
+
+@query(f"WITH {SLICES_SQL} SELECT * FROM slices")
+def stream_slices(spark, sf):
+    """A folder of slices as a stream, whole frames in order of time."""
+    folder = _folder(spark, "stream")
+    save_as(_slices(spark, sf), "slice", folder)
+    return _digests(streaming.drain(streaming.slice_files_stream(spark, folder, frames=30), "stream_slices", at_once=False))
+
+
+@query(f"WITH {POINTS_SQL} SELECT CAST(ts + {MONTH} AS INTEGER) AS ts, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pids, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(z * r) AS BIGINT) AS z_r, CAST(sum(g * b) AS BIGINT) AS g_b FROM pts GROUP BY ts")
+def ply_files(spark, sf):
+    """Frames written as clouds and read again."""
+    order = Window.partitionBy("ts").orderBy("x", "y", "z", "r", "g", "b")
+    p = points(spark, sf).withColumn("ts", F.col("ts") + MONTH).withColumn("pid", F.row_number().over(order) - 1)
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    return _through(spark, p, "ply").groupBy("ts").agg(F.count("*").alias("n"), total("pid", "pids"), total("x", "x"), total("y", "y"), total(F.col("z") * F.col("r"), "z_r"), total(F.col("g").cast("long") * F.col("b"), "g_b"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT CAST(ts + {MONTH} AS INTEGER) AS ts, patch, count(*) AS n, CAST(sum(x * z) AS BIGINT) AS x_z, CAST(sum(y * b) AS BIGINT) AS y_b FROM pts GROUP BY ts, patch")
+def patch_files(spark, sf):
+    """Patches written as files and read again, with their points."""
+    p = points(spark, sf).groupBy((F.col("ts") + MONTH).alias("ts"), "patch").agg(F.count("*").alias("n"), F.collect_list(F.struct(*"xyzrgb")).alias("points"))
+    p = p.withColumn("type", F.lit(1)).withColumn("mv", F.array(*(F.lit(float(i % 5 == 0)) for i in range(16))))
+    q = _through(spark, p, "patch").select("ts", "patch", "n", F.explode("points").alias("p"))
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    return q.groupBy("ts", "patch", "n").agg(total(F.col("p.x") * F.col("p.z"), "x_z"), total(F.col("p.y") * F.col("p.b"), "y_b"))
+
+
 # --- streams ---
 
 
-def _as_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def _as_stream(spark: SparkSession, df: DataFrame, name: str, files: int) -> DataFrame:
+    """A stream of a table's files, `files` to a trigger, which ends with a closing row."""
     path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 60).parquet(path)
+    streaming.closing(spark, df).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch FROM pts) SELECT patch, ts, CAST(sum(CASE WHEN ts % 7 = 0 OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY patch ORDER BY ts) - 1 AS INTEGER) AS gop FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY ts) AS i FROM s)")
 def stream_gops(spark, sf):
+    """Frames come in files that are in no order of time."""
     p = points(spark, sf).select("patch", "ts").distinct().withColumn("type", F.when(F.col("ts") % 7 == 0, 0).otherwise(1))
-    # a single file, so that one trigger sees each patch's frames in order
-    stream = streaming.gop_stream(_as_stream(spark, p.coalesce(1), "gops"))
+    span = p.agg(F.max("ts") - F.min("ts")).first()[0]
+    stream = streaming.gop_stream(_as_stream(spark, p.repartition(6, "ts"), "gops", 3), late=span or 0)
     return streaming.drain(stream, "stream_gops")
 
 
 @query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch FROM pts) SELECT ts, patch, 0 AS differing FROM s")
 def stream_decode(spark, sf):
-    """The stream decodes what the batch decodes: no point differs."""
+    """The stream of a folder of slices decodes, some frames a trigger, what the batch decodes: no point differs."""
     p = _sequence(spark, sf)
-    slices = stages.compress(p, stages.deform(p, CODEC), CODEC)
-    stream = streaming.decoded_stream(_as_stream(spark, slices.coalesce(1), "slices"))
-    a, b = streaming.drain(stream, "stream_decode"), codec.decode(slices)
+    slices = staged(stages.compress(p, stages.deform(p, CODEC), CODEC), "slices")
+    last = slices.agg(F.max("ts")).first()[0]
+    folder = _folder(spark, "decode")
+    save_as(slices, "slice", folder)
+    stream = streaming.decoded_stream(streaming.slice_files_stream(spark, folder, frames=30, last=last))
+    a, b = streaming.drain(stream, "stream_decode", at_once=False), codec.decode(slices)
     both = a.join(b, ["ts", "patch", "pid", "x", "y", "z", "r", "g", "b"], "full")
     same = both.groupBy("ts", "patch").agg(F.count("*").alias("n"))
     of = b.groupBy("ts", "patch").agg(F.count("*").alias("m"))

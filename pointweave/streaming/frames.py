@@ -1,8 +1,12 @@
 """Slices as a stream: frames in order of time, decoded with one state per patch.
 
-A patch's state is its latest intra slice, from which the tree and the reference colours are rebuilt;
-slices of a micro-batch are put in order of ts before they are decoded. How many files a trigger
-takes bounds what is in flight.
+Frames may come in any order within `late` of each other. Rows wait in a patch's state until the watermark has
+passed their ts, which a timer tells, and are then released in order of ts; what a patch carries on (its latest
+intra slice, from which the tree and the reference colours are rebuilt, or the number of its group) is a state
+of its own, so a result does not depend on how frames fall into triggers. A second as an event time stands for
+one unit of ts. A row at CLOSING ends a stream: it moves the watermark past all frames. Rows that come after the
+watermark are left out by Spark, which the query's progress counts; `drain` makes an error of them.
+How many files a trigger takes bounds what is in flight.
 """
 
 from __future__ import annotations
@@ -13,15 +17,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..errors import EngineError, Kind
 from ..operators.codec import POINT_SCHEMA, Decoder, decode_rows
 from ..plans.store import shared_folder
-from ..schemas import SLICES
+from ..schemas import CLOSING, SLICES
 from ..sources.formats import slice_of
+from ..sources.registered import register
 
 NAMES = SLICES.fieldNames()
 STATE = "ts int, patch int, type short, size long, qp short, mv array<float>, geometry binary, color binary"
+#: Keyed states with timers need it.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What makes an event time of the least ts positive.
+SHIFT = 1 << 31
 
 
 def slice_stream(spark: SparkSession, path: str, files: int = 60) -> DataFrame:
@@ -29,41 +39,117 @@ def slice_stream(spark: SparkSession, path: str, files: int = 60) -> DataFrame:
     return spark.readStream.schema(SLICES).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def decoded_stream(slices: DataFrame) -> DataFrame:
-    """Points of a stream of slices, by patch."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decoder, intra = Decoder(), None
-        if state.exists:
-            intra = state.get
-            decoder.decode(slice_of(dict(zip(NAMES, intra, strict=True))))
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
-        out = decode_rows(rows, decoder)
-        last = rows[(rows["type"] & 2) == 0]
-        if len(last):
-            row = last.iloc[-1]
-            intra = (int(row["ts"]), int(row["patch"]), int(row["type"]), int(row["size"]), int(row["qp"]), [float(v) for v in row["mv"]], bytes(row["geometry"]), None if row["color"] is None else bytes(row["color"]))
-        if intra is not None:
-            state.update(intra)
+def slice_files_stream(spark: SparkSession, folder: str, frames: int = 60, last: int | None = None) -> DataFrame:
+    """A stream of the slices in a folder of .slice files, whole frames in order of ts; it closes after the frame `last`."""
+    register(spark)
+    return spark.readStream.format("slice").options(framesPerTrigger=frames, **({} if last is None else {"last": last})).load(folder)
+
+
+def closing(spark: SparkSession, like: DataFrame) -> DataFrame:
+    """The row that ends a stream of rows with ts and patch."""
+    known = {"ts": F.lit(CLOSING), "patch": F.lit(-1)}
+    return spark.range(1).select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema))
+
+
+def _second(ts: int) -> int:
+    return 1000 * (ts + SHIFT)
+
+
+class Ordered(StatefulProcessor):
+    """Holds rows back until the watermark has passed them; subclasses say what becomes of rows in order."""
+
+    def __init__(self, row: str, state: str):
+        self.row, self.state = row, state
+        self.names = [c.split()[0] for c in row.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.early = handle.getMapState("early", "ts int", self.row)
+        self.carried = handle.getValueState("carried", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for row in batch[batch["ts"] != CLOSING][self.names].to_dict("records"):
+                ts = int(row["ts"])
+                self.early.updateValue((ts,), tuple(_plain(row[n]) for n in self.names))
+                self.handle.registerTimer(_second(ts))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first = expiredTimerInfo.getExpiryTimeInMs() // 1000 - SHIFT
+        if not self.early.containsKey((first,)):
+            return  # released with an earlier one
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k[0] for k in self.early.keys() if _second(k[0]) <= passed)
+        out = self.release(key, [self.early.getValue((ts,)) for ts in due])
+        for ts in due:
+            self.early.removeKey((ts,))
         yield out
 
-    return slices.groupBy("patch").applyInPandasWithState(run, POINT_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    def release(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A value of a data frame as a state takes it."""
+    if value is None or isinstance(value, (bytes, int, float)):
+        return value
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return [float(v) for v in value] if hasattr(value, "__len__") else value.item()
+
+
+class SliceDecoder(Ordered):
+    """Points of a patch's slices; carries the latest intra slice."""
+
+    def __init__(self):
+        super().__init__(STATE, STATE)
+
+    def release(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        decoder = Decoder()
+        carried = self.carried.get() if self.carried.exists() else None
+        if carried is not None:
+            decoder.decode(slice_of(dict(zip(NAMES, carried, strict=True))))
+        out = decode_rows(pd.DataFrame([tuple(r) for r in rows], columns=NAMES).astype({"geometry": object, "color": object}), decoder)
+        intra = [r for r in rows if not r[NAMES.index("type")] & 2]
+        if intra:
+            self.carried.update(tuple(intra[-1]))
+        return out
+
+
+class GroupNumbers(Ordered):
+    """Numbers of a patch's groups of pictures; carries the number so far."""
+
+    def __init__(self):
+        super().__init__("ts int, type int", "gop int")
+
+    def release(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        gop = self.carried.get()[0] if self.carried.exists() else None
+        out = []
+        for ts, kind in rows:
+            gop = 0 if gop is None else gop + (kind == 0)
+            out.append((key[0], ts, gop))
+        self.carried.update((gop,))
+        return pd.DataFrame(out, columns=["patch", "ts", "gop"]).astype("int32")
+
+
+def _in_order(rows: DataFrame, processor: Ordered, schema: str, late: int) -> DataFrame:
+    rows.sparkSession.conf.set(*STATE_STORE)
+    at = rows.withColumn("at", F.timestamp_seconds(F.col("ts").cast("long") + SHIFT)).withWatermark("at", f"{late} seconds")
+    return at.groupBy("patch").transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
-def gop_stream(patches: DataFrame) -> DataFrame:
-    """Numbers the groups of pictures of a stream of (patch, ts, type): type 0 starts one. The state is the number so far."""
+def decoded_stream(slices: DataFrame, late: int = 0) -> DataFrame:
+    """Points of a stream of slices, by patch. late: how many units of ts a frame may come after a later one."""
+    return _in_order(slices, SliceDecoder(), POINT_SCHEMA, late)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gop = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
-        starts = (rows["type"] == 0).to_numpy().copy()
-        if gop < 0 and len(starts):
-            starts[0] = True
-        rows["gop"] = gop + starts.cumsum()
-        state.update((int(rows["gop"].iloc[-1]),))
-        yield rows[["patch", "ts", "gop"]]
 
-    return patches.groupBy("patch").applyInPandasWithState(run, "patch int, ts int, gop int", "gop int", "append", GroupStateTimeout.NoTimeout)
+def gop_stream(patches: DataFrame, late: int = 0) -> DataFrame:
+    """Numbers the groups of pictures of a stream of (patch, ts, type): type 0 starts one."""
+    return _in_order(patches, GroupNumbers(), "patch int, ts int, gop int", late)
 
 
 def windowed_counts(events: DataFrame, length: str, late: str, *keys: str, ts: str = "ts", value: Column | str = "value", slide: str | None = None) -> DataFrame:
@@ -73,20 +159,29 @@ def windowed_counts(events: DataFrame, length: str, late: str, *keys: str, ts: s
     return at.groupBy(window, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", at_once: bool = True) -> DataFrame:
     """Runs a stream over what is there, and gives its results as a table in the shared folder.
 
     A trigger's rows are a folder of its own, written anew if the trigger is; in mode complete the last one is the result.
+    at_once: sources that say how much a trigger takes are asked so; others go on, trigger by trigger, until nothing is left.
     """
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     each = "batch=0" if mode == "complete" else "batch={}"
+    dropped = []
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{each.format(batch)}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", f"{path}-offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", f"{path}-offsets")
+    query = (writer.trigger(availableNow=True) if at_once else writer).start()
+    try:
+        query.awaitTermination() if at_once else query.processAllAvailable()
+        dropped = [o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]]
+    finally:
+        query.stop()
+    if sum(dropped):
+        raise EngineError(Kind.BAD_TIME_STAMP, f"{sum(dropped)} rows came after the watermark")
     return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
 
 
