@@ -47,6 +47,20 @@ def symmetric_mse(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     return both.select(*by, *(F.when(F.col(f"{n}_ab").isNotNull() & F.col(f"{n}_ba").isNotNull(), F.greatest(f"{n}_ab", f"{n}_ba")).alias(n) for n in names))
 
 
+def pair_scores(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """by..., direction (ab, ba, or worse of both), geometry, y, u, v."""
+    names = ("geometry", "y", "u", "v")
+    ab, ba = (d.select(*by, F.lit(name).alias("direction"), *names) for d, name in ((directed_mse(a, b, *by), "ab"), (directed_mse(b, a, *by), "ba")))
+    both = ab.unionAll(ba)
+    worse = both.groupBy(*by).agg(F.count("*").alias("n"), *(F.max(n).alias(n) for n in names)).where("n = 2")
+    return both.unionByName(worse.select(*by, F.lit("worse").alias("direction"), *names))
+
+
+def score_stats(scores: DataFrame, channel: str = "geometry", direction: str = "worse", *by: str) -> DataFrame:
+    """Figures of the valid scores of one channel in one direction."""
+    return scores.where(F.col("direction") == direction).groupBy(*by).agg(*valid_scores(channel))
+
+
 def quality(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """Geometry and luma PSNR per group."""
     mse = symmetric_mse(a, b, *by)

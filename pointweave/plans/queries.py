@@ -6,16 +6,18 @@ bucket and part key are coordinates, key residues are colours, and the supplier
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..functions.entropy import rlgr_decode_udf, rlgr_encode_udf, zstd_decode_udf, zstd_encode_udf
-from ..operators import cluster, codec, metrics, octree, registration, spatial, windows
-from ..params import Params
+from ..operators import cluster, codec, metrics, octree, registration, spatial, trees, windows
+from ..params import Icp, IcpType, Params
 from ..sources.registered import save_as
 from ..streaming import frames as streaming
 from . import stages
@@ -115,6 +117,33 @@ def raht_inverse(spark, sf):
     return rounded(octree.inverse_raht(octree.raht(leaf, "ts"), leaf, "ts"), "r", "g", "b")
 
 
+PREDICTED_SQL = f"""{KEYS_SQL}, frames AS (SELECT ts, last_value(CASE WHEN ts % 4 = 0 OR i = 1 THEN ts END IGNORE NULLS) OVER (ORDER BY ts) AS intra FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM pts)))"""
+
+
+@query(f"""WITH {PREDICTED_SQL} SELECT f.ts, f.intra, key, round(r + CASE WHEN f.ts <> f.intra THEN (key * 7 + f.ts * 13) % 11 - 5 ELSE 0 END, 5) + 0.0 AS r,
+ round(g + CASE WHEN f.ts <> f.intra THEN (key * 3 + f.ts * 5) % 7 - 3 ELSE 0 END, 5) + 0.0 AS g, round(b, 5) + 0.0 AS b FROM frames f JOIN leaf ON leaf.ts = f.intra""")
+def raht_predicted(spark, sf):
+    """Frames that are coded as differences to the latest intra frame, on its tree: transformed, turned back and added to it."""
+    leaf = staged(leaf_table(spark, sf), "leaf").withColumnRenamed("ts", "intra")
+    frames = leaf.select(F.col("intra").alias("ts")).distinct().withColumn("first", F.col("ts") == F.min("ts").over(Window.partitionBy()))  # a row for each frame
+    frames = frames.select("ts", windows.as_of(F.col("ts"), (F.col("ts") % 4 == 0) | F.col("first"), []).alias("intra"))
+    own = F.col("ts") == F.col("intra")
+    differs = {"r": (F.col("key") * 7 + F.col("ts") * 13) % 11 - 5, "g": (F.col("key") * 3 + F.col("ts") * 5) % 7 - 3, "b": F.lit(0)}
+    shown = frames.join(leaf, "intra").withColumns({c: F.when(own, F.col(c)).otherwise(d.cast("double")) for c, d in differs.items()})
+    out = trees.inverse_predicted(octree.raht(shown, "intra", "ts"), leaf, frames, values=("r", "g", "b"))
+    return rounded(out.select("ts", "intra", "key", "r", "g", "b"), "r", "g", "b")
+
+
+@query(f"""WITH {KEYS_SQL} SELECT ts, key, CAST(row_number() OVER (PARTITION BY ts ORDER BY key) - 1 AS BIGINT) AS pid, {CENTRE + EDGE / 2 - 0.5} - kx AS x, {CENTRE + EDGE / 2 - 0.5} - ky AS y, {CENTRE + EDGE / 2 - 0.5} - kz AS z
+ FROM (SELECT DISTINCT ts, key, kx, ky, kz FROM keyed)""")
+def octree_leaves(spark, sf):
+    """Trees as geometry bytes, and the leaves in the bytes again, by table functions in SQL."""
+    trees.register(spark)
+    leaf = keyed(spark, sf).select("ts", F.lit(0).alias("patch"), "depth", "edge", *(f"c{a}" for a in "xyz"), "key").distinct()
+    coded = staged(trees.geometry(leaf), "geometry")
+    return spark.sql("SELECT ts, key, pid, x, y, z FROM leaves(TABLE(SELECT ts, patch, 1 AS type, geometry FROM {coded}))", coded=coded)
+
+
 @query(f"WITH {KEYS_SQL} SELECT ts, count(*) AS n, round(sum(r * r) / 1000, 3) AS energy FROM leaf GROUP BY ts")
 def raht_energy(spark, sf):
     c = octree.raht(leaf_table(spark, sf), "ts", values=("r",))
@@ -387,6 +416,33 @@ def cloud_mse_symmetric(spark, sf):
     return mse.select("ts", F.round("geometry", 6).alias("geometry"), F.round(fn.psnr("geometry"), 5).alias("geometry_psnr"))
 
 
+_YUV = ("0.299 * {0}.r + 0.587 * {0}.g + 0.114 * {0}.b", "-0.168736 * {0}.r - 0.331264 * {0}.g + 0.5 * {0}.b", "0.5 * {0}.r - 0.418688 * {0}.g - 0.081312 * {0}.b")
+CLOUDS_SQL = f"""q AS (SELECT c_custkey AS id, c_custkey % 3 AS grp, CAST(c_nationkey AS DOUBLE) AS x, floor(c_acctbal / 100) AS y, CAST(c_custkey % 32 AS DOUBLE) AS z, c_custkey % 256 AS r, c_nationkey * 10 AS g, c_custkey * 7 % 256 AS b FROM customer),
+t AS (SELECT s_suppkey AS id, s_suppkey % 3 AS grp, CAST(s_nationkey AS DOUBLE) AS x, floor(s_acctbal / 100) AS y, CAST(s_suppkey % 32 AS DOUBLE) AS z, s_suppkey % 256 AS r, s_nationkey * 10 AS g, s_suppkey * 7 % 256 AS b FROM supplier),
+d AS (SELECT q.grp, q.id AS qid, t.id AS tid, (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z) AS d2, {", ".join(f"(({c.format('q')}) - ({c.format('t')})) ** 2 AS {n}" for c, n in zip(_YUV, "yuv", strict=True))} FROM q JOIN t USING (grp)),
+ab AS (SELECT grp, avg(d2) AS geometry, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, tid) = 1) GROUP BY grp),
+ba AS (SELECT grp, avg(d2) AS geometry, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY tid ORDER BY d2, qid) = 1) GROUP BY grp),
+worse AS (SELECT grp, greatest(ab.geometry, ba.geometry) AS geometry, greatest(ab.y, ba.y) AS y, greatest(ab.u, ba.u) AS u, greatest(ab.v, ba.v) AS v FROM ab JOIN ba USING (grp))"""
+DIRECTIONS, CHANNELS = ("ab", "ba", "worse"), ("geometry", "y", "u", "v")
+
+
+@query(f"WITH {CLOUDS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS channel, '{d}' AS direction, count({c}) AS n, round(min({c}), 5) AS least, round(max({c}), 5) AS largest, round(avg({c}), 5) AS mean, round(stddev_pop({c}), 5) AS deviation FROM {d}" for c in CHANNELS for d in DIRECTIONS))
+def cloud_scores(spark, sf):
+    """Geometry and colour differences of three pairs of coloured clouds, by channel and direction."""
+    q, t = _near(spark, sf)
+    clouds = []
+    for df, key in ((q, "qid"), (t, "tid")):
+        whole = F.col(key)
+        clouds.append(df.select((whole % 3).cast("int").alias("grp"), whole.alias("pid"), *"xyz", (whole % 256).cast("int").alias("r"), (F.col("x") * 10).cast("int").alias("g"), (whole * 7 % 256).cast("int").alias("b")))
+    scores = staged(metrics.pair_scores(*clouds, "grp"), "scores")
+    out = None
+    for c in CHANNELS:
+        for d in DIRECTIONS:
+            one = metrics.score_stats(scores, c, d).select(F.lit(c).alias("channel"), F.lit(d).alias("direction"), "*")
+            out = one if out is None else out.unionAll(one)
+    return rounded(out, "least", "largest", "mean", "deviation")
+
+
 @query(f"WITH {POINTS_SQL}, box AS (SELECT ts, min(x) AS ax, max(x) - min(x) AS ex, min(y) AS ay, max(y) - min(y) AS ey, min(z) AS az, max(z) - min(z) AS ez FROM pts GROUP BY ts) SELECT ts, CAST(least(floor((x - ax) / (CASE WHEN ex > 0 THEN ex ELSE 1 END / 8)), 7) + 8 * least(floor((y - ay) / (CASE WHEN ey > 0 THEN ey ELSE 1 END / 8)), 7) + 64 * least(floor((z - az) / (CASE WHEN ez > 0 THEN ez ELSE 1 END / 8)), 7) AS INTEGER) AS block, count(*) AS n FROM pts JOIN box USING (ts) GROUP BY ALL")
 def grid_blocks(spark, sf):
     return spatial.with_block(points(spark, sf), 8, "ts").groupBy("ts", "block").agg(F.count("*").alias("n"))
@@ -455,6 +511,16 @@ def rlgr_roundtrip(spark, sf):
     return back.select("ts", "patch", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"SELECT CAST(l_suppkey % 16 AS INTEGER) AS patch, CAST(l_orderkey % 64 AS INTEGER) AS bucket, md5(string_agg(CAST(l_partkey % 256 - 128 AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey)) AS digest FROM lineitem GROUP BY ALL")
+def rlgr_values(spark, sf):
+    """Every value of unsorted arrays after coding and decoding, in order."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 256 - 128).cast("long").alias("v"))
+    lists = tab(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 16).cast("int").alias("patch"), (F.col("l_orderkey") % 64).cast("int").alias("bucket")).agg(F.array_sort(F.collect_list(order)).alias("s"))
+    v = lists.select("patch", "bucket", F.col("s.v").alias("v"))
+    back = v.select("patch", "bucket", rlgr_decode_udf(rlgr_encode_udf("v"), F.size("v")).alias("v"))
+    return back.select("patch", "bucket", F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))).alias("digest"))
+
+
 @query("SELECT p_partkey, md5(p_name || p_type) AS digest FROM part")
 def zstd_roundtrip(spark, sf):
     return tab(spark, sf, "part").select("p_partkey", F.md5(zstd_decode_udf(zstd_encode_udf(F.concat("p_name", "p_type").cast("binary")))).alias("digest"))
@@ -504,6 +570,26 @@ def icp_align(spark, sf):
     return out.select("ts", "patch", "n", (F.col("converged") & (F.coalesce("mse", F.lit(1.0)) < 1e-9)).alias("converged"))
 
 
+#: A turn about z and a shift of several cells.
+TURN, SHIFTS = 0.04, (2.5, -1.75, 1.25)
+
+
+@query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts), n AS (SELECT ts, patch, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10), k AS (SELECT unnest(['simple_icp', 'lm_icp']) AS type) SELECT type, ts, patch, n, {TURN} AS turn, {SHIFTS[0]} AS dx, {SHIFTS[1]} AS dy, {SHIFTS[2]} AS dz FROM n, k")
+def icp_motion(spark, sf):
+    """The motion of every patch of more than ten points is found again: from a moved cloud's points back to where they were."""
+    p = _sequence(spark, sf)
+    c, s = math.cos(TURN), math.sin(TURN)
+    # points of the moved cloud are registered to the others, so the motion that is found is the inverse
+    back = np.linalg.inv(np.array([[c, -s, 0, SHIFTS[0]], [s, c, 0, SHIFTS[1]], [0, 0, 1, SHIFTS[2]], [0, 0, 0, 1]]))
+    moved = p.withColumns({a: F.lit(float(back[i, 3])) + sum((F.lit(float(back[i, j])) * F.col(b) for j, b in enumerate("xyz")), F.lit(0.0)) for i, a in enumerate("xyz")})
+    out = None
+    for kind in (IcpType.SIMPLE, IcpType.LM):
+        one = registration.register_patches(moved, p, ["ts", "patch"], Icp(type=kind, transformation_ths=1e-18, mse_ths=1e-9)).where("n > 10")
+        one = one.select(F.lit(kind.value).alias("type"), "ts", "patch", "n", F.atan2(F.col("mv")[4], F.col("mv")[0]).alias("turn"), *(F.col("mv")[4 * i + 3].alias(f"d{a}") for i, a in enumerate("xyz")))
+        out = one if out is None else out.unionAll(one)
+    return rounded(out, "turn", "dx", "dy", "dz", digits=6)
+
+
 # --- files ---
 
 #: Months from 1992 on, so that a file's name can hold them.
@@ -548,6 +634,16 @@ def frame_files(spark, sf):
     return _digests(_through(spark, _slices(spark, sf), "frame"))
 
 
+@query(f"""WITH {SLICES_SQL} SELECT ts, CAST(count(*) AS INTEGER) AS slice_cnt, {", ".join(f"string_agg(coalesce(CAST({c} AS VARCHAR), '-'), ',' ORDER BY patch) AS {n}" for c, n in (("patch", "index"), ("type", "type"), ("size", "size"), ("qp", "qp"), ("geometry", "geometry"), ("color", "color")))},
+ string_agg(CASE WHEN patch % 2 = 0 THEN '1.0' ELSE '0.5' END, ',' ORDER BY patch) AS mv FROM slices GROUP BY ts""")
+def frame_columns(spark, sf):
+    """All columns of frames that are put together from slices."""
+    mv = F.transform("mv", lambda v: v * F.when(F.col("patch") % 2 == 0, 1.0).otherwise(0.5).cast("float"))
+    frames = stages.build_frames(_slices(spark, sf).withColumn("mv", mv))
+    text = lambda c, f=lambda v: v.cast("string"): F.concat_ws(",", F.transform(c, lambda v: F.coalesce(f(v), F.lit("-")))).alias(c)
+    return frames.select("ts", "slice_cnt", *(text(c) for c in ("index", "type", "size", "qp")), *(text(c, F.md5) for c in ("geometry", "color")), text("mv", lambda v: v[5].cast("string")))
+
+
 @query(f"WITH {SLICES_SQL} SELECT * FROM slices")
 def stream_slices(spark, sf):
     """A folder of slices as a stream, whole frames in order of time."""
