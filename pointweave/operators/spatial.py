@@ -99,9 +99,10 @@ def neighbours_in_radius(queries: DataFrame, targets: DataFrame, radius: float,
 def conditional_nearest(queries: DataFrame, targets: DataFrame, limits: DataFrame, by: tuple[str, ...] = (), k: int = 5) -> DataFrame:
     """The first of k neighbours that is nearer than its patch's limit, else the nearest of all.
 
-    targets carry a patch; limits: patch, limit (in squared distance).
+    targets carry a patch; limits: patch, limit (in squared distance), and those of by in which a patch has several.
     """
-    met = nearest(queries, targets, by, k).join(targets.select(*by, "tid", "patch"), [*by, "tid"]).join(limits, "patch", "left")
+    own = [c for c in by if c in limits.columns]
+    met = nearest(queries, targets, by, k).join(targets.select(*by, "tid", "patch"), [*by, "tid"]).join(limits, [*own, "patch"], "left")
     first = F.min_by(F.struct("tid", "patch", "d2"), F.struct(F.when(F.col("d2") < F.col("limit"), 0).otherwise(1), "rank"))
     return met.groupBy(*by, "qid").agg(first.alias("hit")).select(*by, "qid", "hit.*")
 

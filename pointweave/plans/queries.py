@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..functions.entropy import rlgr_decode_udf, rlgr_encode_udf, zstd_decode_udf, zstd_encode_udf
-from ..operators import cluster, codec, metrics, octree, registration, spatial, trees, windows
+from ..operators import cluster, codec, metrics, octree, registration, spatial, tracking, trees, windows
 from ..params import Icp, IcpType, Params
 from ..sources.registered import save_as
 from ..streaming import frames as streaming
@@ -590,6 +590,21 @@ def icp_motion(spark, sf):
     return rounded(out, "turn", "dx", "dy", "dz", digits=6)
 
 
+#: How far all points of a frame move to the next.
+MOVES = (3.0, -2.0, 4.0)
+
+
+@query(f"WITH {POINTS_SQL}, s AS (SELECT ts, x, y, z, min(patch) AS patch, count(*) AS n FROM pts GROUP BY ts, x, y, z) SELECT ts, x, y, z, patch, n FROM s")
+def track_patches(spark, sf):
+    """Each frame's patches are found again in the frame moved as a whole; points that coincide go to the least patch."""
+    order = Window.partitionBy("ts").orderBy("patch", "x", "y", "z", "r", "g", "b")
+    p = staged(points(spark, sf).withColumn("pid", F.row_number().over(order).cast("long")), "frames")
+    target = p.select("ts", "pid", *((F.col(a) + m).alias(a) for a, m in zip("xyz", MOVES, strict=True)))
+    out, _ = tracking.track(p, target, ["ts"])
+    back = out.select("ts", "patch", *((F.col(a) - m).alias(a) for a, m in zip("xyz", MOVES, strict=True)))
+    return back.groupBy("ts", "x", "y", "z").agg(F.min("patch").alias("patch"), F.count("*").alias("n"))
+
+
 # --- files ---
 
 #: Months from 1992 on, so that a file's name can hold them.
