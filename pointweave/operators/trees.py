@@ -135,6 +135,12 @@ def inverse_predicted(coefficients: DataFrame, leaf: DataFrame, frames: DataFram
 
 def decode(slices: DataFrame) -> DataFrame:
     """All points of all slices, as codec.decode gives them."""
+    rgb = yuv_to_rgb(*CHANNELS)
+    return decoded_yuv(slices).select("ts", "patch", "pid", *"xyz", *(c.alias(a) for a, c in zip("rgb", rgb, strict=True)))
+
+
+def decoded_yuv(slices: DataFrame) -> DataFrame:
+    """ts, patch, pid, the points in their frame's place and their colours as they are coded."""
     names = slices.columns
     missing = [n for n in ("ts", "patch", "type", "size", "qp", "mv", "geometry", "color") if n not in names]
     if missing:
@@ -150,5 +156,5 @@ def decode(slices: DataFrame) -> DataFrame:
     colours = inverse_predicted(coefficients, leaf, known.select("patch", "ts", "intra"), "patch")
     at = leaf.select(*tree, "key", "pid", *"xyz")
     out = colours.join(at, [*tree, "key"]).join(known.select("ts", "patch", "mv"), ["ts", "patch"])
-    xyz, rgb = affine(F.col("mv"), *"xyz"), yuv_to_rgb(*CHANNELS)
-    return out.select("ts", "patch", "pid", *(c.alias(a) for a, c in zip("xyz", xyz, strict=True)), *(c.alias(a) for a, c in zip("rgb", rgb, strict=True)))
+    xyz = affine(F.col("mv"), *"xyz")
+    return out.select("ts", "patch", "pid", *(c.alias(a) for a, c in zip("xyz", xyz, strict=True)), *CHANNELS)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..functions.entropy import rlgr_decode_udf, rlgr_encode_udf, zstd_decode_udf, zstd_encode_udf
-from ..operators import cluster, codec, metrics, octree, registration, spatial, tracking, trees, windows
+from ..operators import buffers, cluster, codec, frontier, metrics, octree, registration, spatial, tracking, trees, windows
 from ..params import Icp, IcpType, Params
 from ..sources.registered import save_as
 from ..streaming import frames as streaming
@@ -561,6 +561,28 @@ def decoded_quality(spark, sf):
     return rounded(stages.decompress(stages.compress(p, stages.deform(p, CODEC), CODEC), source)[1], "geometry_psnr", "luma_psnr", digits=3)
 
 
+@query(f"WITH {POINTS_SQL} SELECT ts, patch, count(*) AS size, CAST(coalesce(sum(count(*)) OVER (PARTITION BY ts ORDER BY patch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM pts GROUP BY ts, patch")
+def buffer_places(spark, sf):
+    """Where in its frame's buffer each patch begins."""
+    return buffers.places(points(spark, sf).groupBy("ts", "patch").agg(F.count("*").alias("size")))
+
+
+@query()
+def frame_buffers(spark, sf):
+    """The display buffers of all frames, decoded by joins."""
+    p = _sequence(spark, sf)
+    slices = staged(stages.compress(p, stages.deform(p, CODEC), CODEC), "slices")
+    return buffers.frame_buffers(slices).select("ts", "piece", "points", F.length("data").alias("bytes"))
+
+
+@query()
+def level_fitting(spark, sf):
+    """The fitting clouds of all patches over six frames each, level by level: points in each."""
+    p = _sequence(spark, sf).withColumn("run", F.floor(F.col("ts") / 6).cast("int"))
+    fit = frontier.fitting_clouds(p.withColumnRenamed("ts", "member"), CODEC, "patch", "run")
+    return fit.groupBy("patch", "run").agg(F.count("*").alias("points"))
+
+
 @query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts) SELECT ts, patch, count(*) AS n, count(*) > 10 AS converged FROM s GROUP BY ALL")
 def icp_align(spark, sf):
     """A known shift of each patch is found again: all that are large enough converge to an error of zero."""

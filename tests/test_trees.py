@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.scalar import GEOMETRY_ZSTD
 from pointweave.functions.entropy import zstd_decode
-from pointweave.operators import codec, trees
+from pointweave.operators import buffers, codec, trees
 from pointweave.params import Params
 from pointweave.schemas import SLICES
-from pointweave.sources.formats import EYE
+from pointweave.sources.formats import EYE, slice_of
 
 
 def turned(angle, shift):
@@ -67,3 +67,43 @@ def test_a_slice_without_what_it_builds_on_is_an_error(slices):
     with pytest.raises(PySparkException, match="BAD_SLICE"):
         trees.decode(slices.withColumn("type", F.when(F.col("ts") == 5, F.lit(2)).otherwise(F.col("type")).cast("short"))).collect()
     assert trees.decode(slices.limit(0)).count() == 0
+
+
+def test_buffers_are_a_sequential_fill(slices):
+    """A frame at a time, slice after slice into one array."""
+    want = {}
+    decoders = {}
+    for s in sorted(slices.collect(), key=lambda s: (s.ts, s.patch)):
+        decoder = decoders.setdefault(s.patch, Recorded())
+        xyz, _ = decoder.decode(slice_of(s.asDict()))
+        rows = np.zeros(len(xyz), buffers.POINT)
+        for i, c in enumerate("xyz"):
+            rows[c] = xyz[:, i]
+        rgb = (decoder.yuv - codec.YUV_SHIFT) @ codec.TO_RGB.T / 255 if len(xyz) >= 10 else np.ones((len(xyz), 3))
+        for i, c in enumerate("rgb"):
+            rows[c] = rgb[:, i]
+        want[s.ts] = np.concatenate([want.get(s.ts, rows[:0]), rows])
+    got = {}
+    for r in buffers.frame_buffers(slices, piece=50).orderBy("ts", "piece").collect():
+        assert r.points <= 50 and len(r.data) == 24 * r.points
+        got[r.ts] = got.get(r.ts, b"") + bytes(r.data)
+    assert set(got) == set(want)
+    for ts, data in got.items():
+        own = np.frombuffer(data, buffers.POINT)
+        assert len(own) == len(want[ts])
+        for c in buffers.POINT.names:
+            assert np.allclose(own[c], want[ts][c], atol=1e-4)
+    tiny = [ts for ts in got if (np.frombuffer(got[ts], buffers.POINT)["r"] == 1).any()]
+    assert tiny
+
+
+class Recorded(codec.Decoder):
+    """Keeps the colours of the last slice as they are coded."""
+
+    def decode(self, s):
+        rgb = codec.to_rgb
+        codec.to_rgb = lambda yuv: setattr(self, "yuv", yuv) or rgb(yuv)
+        try:
+            return super().decode(s)
+        finally:
+            codec.to_rgb = rgb
