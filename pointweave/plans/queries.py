@@ -627,72 +627,6 @@ def track_patches(spark, sf):
     return out.select("ts", "patch", *((F.col(a) - m).alias(a) for a, m in zip("xyz", MOVES, strict=True)))
 
 
-@query(f"WITH {POINTS_SQL} SELECT ts, patch, count(*) AS size, CAST(coalesce(sum(count(*)) OVER (PARTITION BY ts ORDER BY patch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM pts GROUP BY ts, patch")
-def buffer_places(spark, sf):
-    """Where in its frame's buffer each patch begins."""
-    return buffers.places(points(spark, sf).groupBy("ts", "patch").agg(F.count("*").alias("size")))
-
-
-@query()
-def frame_buffers(spark, sf):
-    """The display buffers of all frames, decoded by joins."""
-    p = _sequence(spark, sf)
-    slices = staged(stages.compress(p, stages.deform(p, CODEC), CODEC), "slices")
-    return buffers.frame_buffers(slices).select("ts", "piece", "points", F.length("data").alias("bytes"))
-
-
-@query()
-def level_fitting(spark, sf):
-    """The fitting clouds of all patches over six frames each, level by level: points in each."""
-    p = _sequence(spark, sf).withColumn("run", F.floor(F.col("ts") / 6).cast("int"))
-    fit = frontier.fitting_clouds(p.withColumnRenamed("ts", "member"), CODEC, "patch", "run")
-    return fit.groupBy("patch", "run").agg(F.count("*").alias("points"))
-
-
-@query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts) SELECT ts, patch, count(*) AS n, count(*) > 10 AS converged FROM s GROUP BY ALL")
-def icp_align(spark, sf):
-    """A known shift of each patch is found again: all that are large enough converge to an error of zero."""
-    p = _sequence(spark, sf)
-    moved = p.withColumns({"x": F.col("x") + 0.2, "y": F.col("y") - 0.1, "z": F.col("z") + 0.15})
-    out = registration.register_patches(moved, p, ["ts", "patch"])
-    return out.select("ts", "patch", "n", (F.col("converged") & (F.coalesce("mse", F.lit(1.0)) < 1e-9)).alias("converged"))
-
-
-#: A turn about z and a shift of several cells.
-TURN, SHIFTS = 0.04, (2.5, -1.75, 1.25)
-
-
-@query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts), n AS (SELECT ts, patch, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10), k AS (SELECT unnest(['simple_icp', 'lm_icp']) AS type) SELECT type, ts, patch, n, {TURN} AS turn, {SHIFTS[0]} AS dx, {SHIFTS[1]} AS dy, {SHIFTS[2]} AS dz FROM n, k")
-def icp_motion(spark, sf):
-    """The motion of every patch of more than ten points is found again: from a moved cloud's points back to where they were."""
-    p = _sequence(spark, sf)
-    c, s = math.cos(TURN), math.sin(TURN)
-    # points of the moved cloud are registered to the others, so the motion that is found is the inverse
-    back = np.linalg.inv(np.array([[c, -s, 0, SHIFTS[0]], [s, c, 0, SHIFTS[1]], [0, 0, 1, SHIFTS[2]], [0, 0, 0, 1]]))
-    moved = p.withColumns({a: F.lit(float(back[i, 3])) + sum((F.lit(float(back[i, j])) * F.col(b) for j, b in enumerate("xyz")), F.lit(0.0)) for i, a in enumerate("xyz")})
-    out = None
-    for kind in (IcpType.SIMPLE, IcpType.LM):
-        one = registration.register_patches(moved, p, ["ts", "patch"], Icp(type=kind, transformation_ths=1e-18, mse_ths=1e-9)).where("n > 10")
-        one = one.select(F.lit(kind.value).alias("type"), "ts", "patch", "n", F.atan2(F.col("mv")[4], F.col("mv")[0]).alias("turn"), *(F.col("mv")[4 * i + 3].alias(f"d{a}") for i, a in enumerate("xyz")))
-        out = one if out is None else out.unionAll(one)
-    return rounded(out, "turn", "dx", "dy", "dz", digits=6)
-
-
-#: How far all points of a frame move to the next.
-MOVES = (3.0, -2.0, 4.0)
-
-
-@query(f"WITH {POINTS_SQL}, s AS (SELECT ts, x, y, z, min(patch) AS patch, count(*) AS n FROM pts GROUP BY ts, x, y, z) SELECT ts, x, y, z, patch, n FROM s")
-def track_patches(spark, sf):
-    """Each frame's patches are found again in the frame moved as a whole; points that coincide go to the least patch."""
-    order = Window.partitionBy("ts").orderBy("patch", "x", "y", "z", "r", "g", "b")
-    p = staged(points(spark, sf).withColumn("pid", F.row_number().over(order).cast("long")), "frames")
-    target = p.select("ts", "pid", *((F.col(a) + m).alias(a) for a, m in zip("xyz", MOVES, strict=True)))
-    out, _ = tracking.track(p, target, ["ts"])
-    back = out.select("ts", "patch", *((F.col(a) - m).alias(a) for a, m in zip("xyz", MOVES, strict=True)))
-    return back.groupBy("ts", "x", "y", "z").agg(F.min("patch").alias("patch"), F.count("*").alias("n"))
-
-
 # --- files ---
 
 #: Months from 1992 on, so that a file's name can hold them.
