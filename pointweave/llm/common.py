@@ -22,9 +22,11 @@ SLICE_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; an own one only where none is set."""
+    """The folder all executors share, from the session; an own one only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         path = f"file://{tempfile.mkdtemp(prefix='pointweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

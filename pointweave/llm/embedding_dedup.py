@@ -37,6 +37,25 @@ THRESHOLD = 0.95
 SAMPLE, ROUNDS, MOST_CELLS, CELL_ROWS = 32_768, 12, 2048, 2048
 MARGIN = 4.0
 BLOCK = 1024
+#: Rows whose cosines with all centres are held at once: 32 MB for MOST_CELLS.
+ROWS = 2048
+
+
+def nearest_centre(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of the largest cosine for each point, and that cosine."""
+    home, best = np.empty(len(points), np.int64), np.empty(len(points))
+    for i in range(0, len(points), ROWS):
+        like = points[i : i + ROWS] @ centres.T
+        home[i : i + ROWS] = at = like.argmax(1)
+        best[i : i + ROWS] = like[np.arange(len(at)), at]
+    return home, best
+
+
+def distances(centres: np.ndarray) -> np.ndarray:
+    """How far unit centres are apart; a centre is infinitely far from itself, so never its own neighbour."""
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    np.fill_diagonal(apart, np.inf)
+    return apart
 
 
 def unit(values: list | np.ndarray | None) -> np.ndarray | None:
@@ -55,12 +74,11 @@ def spherical_k_means(points: np.ndarray, cells: int, rounds: int = ROUNDS, seed
     random = np.random.default_rng(seed)
     centres = points[random.choice(len(points), cells, replace=False)]
     for _ in range(rounds):
-        like = points @ centres.T
-        home = like.argmax(1)
+        home, best = nearest_centre(points, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, points)
         lengths = np.linalg.norm(sums, axis=1)
-        worst = np.argsort(like[np.arange(len(points)), home], kind="stable")
+        worst = np.argsort(best, kind="stable")
         for i, c in enumerate(np.flatnonzero(lengths < 1e-12)):
             sums[c], lengths[c] = points[worst[i]], 1.0
         moved = sums / lengths[:, None]
@@ -97,21 +115,24 @@ def _placed(classes: DataFrame, dim: int, centres: np.ndarray, reach: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = shared.value
-        apart = np.linalg.norm(centre[:, None] - centre[None], axis=2)
-        np.fill_diagonal(apart, np.inf)
+        apart = distances(centre)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             homes, guests = -dims.astype(np.int64), [[] for _ in dims]
             own = np.flatnonzero(dims == dim)
             if len(own):
                 points = batch.column("point").take(pa.array(own))
-                like = np.frombuffer(b"".join(points.to_pylist()), np.float64).reshape(len(own), dim) @ centre.T
-                at = like.argmax(1)
-                near = (like[np.arange(len(own)), at][:, None] - like) / apart[at] <= reach
-                near[np.arange(len(own)), at] = False
-                homes[own] = at
-                for i, row in zip(own.tolist(), near, strict=True):
-                    guests[i] = np.flatnonzero(row).tolist()
+                held = np.frombuffer(b"".join(points.to_pylist()), np.float64).reshape(len(own), dim)
+                for lo in range(0, len(own), ROWS):
+                    mine = own[lo : lo + ROWS]
+                    like = held[lo : lo + ROWS] @ centre.T
+                    at = like.argmax(1)
+                    best = like[np.arange(len(mine)), at]
+                    near = (best[:, None] - like) <= reach * apart[at]
+                    near[np.arange(len(mine)), at] = False
+                    homes[mine] = at
+                    for i, row in zip(mine.tolist(), near, strict=True):
+                        guests[i] = np.flatnonzero(row).tolist()
             columns = {n: batch.column(n) for n in ("id", "copies", "dim", "point")}
             yield pa.RecordBatch.from_pydict(columns | {"home": pa.array(homes), "guests": pa.array(guests, pa.list_(pa.int64()))})
 

@@ -397,3 +397,18 @@ def test_pipeline_stages(spark, tmp_path, docs):
     kept = pipeline.ngram_join(spark, frame, str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute_jaccard(DOCS).items() if c == i} | {None}
     assert pipeline.run(spark, str(tmp_path)).columns == packing.PIECES.names
+
+
+def test_many_cells_take_little_memory():
+    """The largest number of cells, in 768 dimensions: no array of cells x cells x dimensions."""
+    import tracemalloc
+
+    centres = np.random.default_rng(1).normal(size=(embedding_dedup.MOST_CELLS, 768))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    tracemalloc.start()
+    apart = embedding_dedup.distances(centres)
+    home, best = embedding_dedup.nearest_centre(centres, centres)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert np.isinf(np.diag(apart)).all() and abs(apart[0, 1] - np.linalg.norm(centres[0] - centres[1])) < 1e-9
+    assert home.tolist() == list(range(len(centres))) and np.allclose(best, 1)
