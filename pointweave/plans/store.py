@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError, Kind
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; an own one only where none is set."""
+    """The session's checkpoint folder; an own one only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError(Kind.INVALID_DIR, "spark.checkpoint.dir names no folder that the executors share")
         path = f"file://{tempfile.mkdtemp(prefix='pointweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
