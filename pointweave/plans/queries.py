@@ -219,11 +219,13 @@ def matrix_inverse_product(spark, sf):
     return turned.select("q", "n", F.posexplode(fn.matrix_product("mv", "inverse")).alias("i", "v")).select("q", "n", "i", (F.round("v", 9) + 0.0).alias("v"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(i % 5 = 0 AS DOUBLE) AS v FROM range(16) t(i)")
+@query("SELECT s_suppkey, CAST(i AS INTEGER) AS i, CAST(i % 5 = 0 AS DOUBLE) AS v FROM supplier, range(16) t(i)")
 def rigid_inverse_product(spark, sf):
-    mv = F.array(*map(F.lit, TURN))
-    row = spark.range(1).select(F.posexplode(fn.matrix_product(mv, fn.rigid_inverse(mv))).alias("i", "v"))
-    return row.select("i", (F.col("v") + 0.0).alias("v"))
+    """A turn and a shift of each supplier's own, times their inverse."""
+    shift = {3: F.col("s_suppkey"), 7: -F.col("s_nationkey"), 11: F.floor("s_acctbal")}
+    mv = F.array(*(F.lit(v) if i not in shift else shift[i].cast("double") for i, v in enumerate(TURN)))
+    given = tab(spark, sf, "supplier").select("s_suppkey", mv.alias("mv"))
+    return given.select("s_suppkey", F.posexplode(fn.matrix_product("mv", fn.rigid_inverse("mv"))).alias("i", "v")).select("s_suppkey", "i", (F.round("v", 9) + 0.0).alias("v"))
 
 
 @query(f"WITH {POINTS_SQL}, s AS (SELECT ts, patch, count(*) AS n, max(r) AS r FROM pts GROUP BY ALL) SELECT ts, patch, CASE WHEN n < 10 THEN 1.0 ELSE r / 255.0::DOUBLE END AS red FROM s")
@@ -593,14 +595,14 @@ def icp_align(spark, sf):
 
 
 #: A turn about z and a shift of several cells.
-TURN, SHIFTS = 0.04, (2.5, -1.75, 1.25)
+ANGLE, SHIFTS = 0.04, (2.5, -1.75, 1.25)
 
 
-@query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts), n AS (SELECT ts, patch, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10), k AS (SELECT unnest(['simple_icp', 'lm_icp']) AS type) SELECT type, ts, patch, n, {TURN} AS turn, {SHIFTS[0]} AS dx, {SHIFTS[1]} AS dy, {SHIFTS[2]} AS dz FROM n, k")
+@query(f"WITH {POINTS_SQL}, s AS (SELECT DISTINCT ts, patch, x, y, z FROM pts), n AS (SELECT ts, patch, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10), k AS (SELECT unnest(['simple_icp', 'lm_icp']) AS type) SELECT type, ts, patch, n, {ANGLE} AS turn, {SHIFTS[0]} AS dx, {SHIFTS[1]} AS dy, {SHIFTS[2]} AS dz FROM n, k")
 def icp_motion(spark, sf):
     """The motion of every patch of more than ten points is found again: from a moved cloud's points back to where they were."""
     p = _sequence(spark, sf)
-    c, s = math.cos(TURN), math.sin(TURN)
+    c, s = math.cos(ANGLE), math.sin(ANGLE)
     # points of the moved cloud are registered to the others, so the motion that is found is the inverse
     back = np.linalg.inv(np.array([[c, -s, 0, SHIFTS[0]], [s, c, 0, SHIFTS[1]], [0, 0, 1, SHIFTS[2]], [0, 0, 0, 1]]))
     moved = p.withColumns({a: F.lit(float(back[i, 3])) + sum((F.lit(float(back[i, j])) * F.col(b) for j, b in enumerate("xyz")), F.lit(0.0)) for i, a in enumerate("xyz")})
