@@ -7,10 +7,13 @@ its definition; it runs per cloud on counts of close pairs, which are a table of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError, Kind
 from ..plans.store import staged
@@ -20,6 +23,8 @@ from .windows import apportion
 #: A merged or kept cluster may be this much larger than its target.
 TOLERANCE = 0.2
 CLOSE_POINTS = 4
+#: Centres that go to all tasks, about 3 MB; more are joined.
+MOST_HELD = 1 << 16
 
 
 def split_once(points: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -53,29 +58,125 @@ def split_to(points: DataFrame, by: list[str], most: int, rounds: int = 64) -> D
     return points
 
 
-def assign(points: DataFrame, centres: DataFrame, by: list[str], edge: float = 8.0) -> DataFrame:
-    """points with the nearest centre's cluster (ties: the least). centres: by..., cluster, cx, cy, cz."""
+def nearest_centres(xyz: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each point's nearest centre (ties: the first), in blocks of a bounded size."""
+    step = max(1, (1 << 20) // max(1, len(centres)))
+    out = np.empty(len(xyz), np.int64)
+    for i in range(0, len(xyz), step):
+        d = xyz[i : i + step, None] - centres[None]
+        out[i : i + step] = (d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2).argmin(1)
+    return out
+
+
+Held = dict[tuple, tuple[np.ndarray, np.ndarray]]
+
+
+def held_centres(centres: DataFrame, by: list[str], most: int) -> Held | None:
+    """The clusters and centres of each cloud, in the order of clusters; None if they are more than `most`."""
+    rows = centres.select(*by, "cluster", *(f"c{a}" for a in AXES)).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    groups: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: r["cluster"]):
+        groups.setdefault(tuple(r)[: len(by)], []).append(tuple(r)[len(by) :])
+    return {k: (np.array([r[0] for r in rs]), np.array([r[1:] for r in rs], float)) for k, rs in groups.items()}
+
+
+def _clouds(batch: pd.DataFrame, by: list[str], held: Held):
+    """(cloud, its points in the batch, the place of each one's nearest centre)."""
+    for key, group in batch.groupby(by, sort=False):
+        if key in held:
+            yield key, group, nearest_centres(group[list(AXES)].to_numpy(float), held[key][1])
+
+
+def _assign_held(points: DataFrame, held: Held, by: list[str]) -> DataFrame:
+    points = points.drop("cluster")
+    shared = points.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        for batch in batches:
+            for key, group, at in _clouds(batch, by, shared.value):
+                yield group.assign(cluster=shared.value[key][0][at])
+
+    return points.mapInPandas(run, T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType())]))
+
+
+def _assign_joined(points: DataFrame, centres: DataFrame, by: list[str], edge: float) -> DataFrame:
     targets = centres.select(*by, F.col("cluster").alias("tid"), *(F.col(f"c{a}").alias(a) for a in AXES))
     met = nearest(points.withColumnRenamed("pid", "qid"), targets, tuple(by), 1, edge)
     return points.drop("cluster").join(met.select(*by, F.col("qid").alias("pid"), F.col("tid").alias("cluster")), [*by, "pid"])
 
 
-def k_means(points: DataFrame, centres: DataFrame, by: list[str], rounds: int = 100, least_shift: float = 0.01, squared: bool = True, edge: float = 8.0) -> tuple[DataFrame, DataFrame]:
+def assign(points: DataFrame, centres: DataFrame, by: list[str], edge: float = 8.0, most_held: int = MOST_HELD) -> DataFrame:
+    """points with the nearest centre's cluster (ties: the least). centres: by..., cluster, cx, cy, cz.
+
+    Up to most_held centres go to all tasks; more are joined by grid cells.
+    """
+    held = held_centres(centres, by, most_held)
+    return _assign_joined(points, centres, by, edge) if held is None else _assign_held(points, held, by)
+
+
+def _shift(moves: np.ndarray, squared: bool) -> float:
+    d2 = (moves**2).sum(1)
+    return float((d2 if squared else np.sqrt(d2)).mean())
+
+
+def _k_means_held(points: DataFrame, held: Held, by: list[str], rounds: int, least_shift: float, squared: bool) -> Held:
+    """Lloyd rounds of one job each: tasks sum the points of each cluster, and a cloud that has settled is left out of the next."""
+    context = points.sparkSession.sparkContext
+    schema = ", ".join([*(f"{c} {points.schema[c].dataType.simpleString()}" for c in by), "at long, n long", *(f"s{a} double" for a in AXES)])
+    left = dict(held)
+    for _ in range(rounds):
+        shared = context.broadcast(left)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for key, group, at in _clouds(batch, by, shared.value):
+                    sums = group[list(AXES)].astype(float).groupby(at).agg("sum")
+                    yield pd.DataFrame({**dict(zip(by, key, strict=True)), "at": sums.index, "n": np.bincount(at)[sums.index], **{f"s{a}": sums[a].to_numpy() for a in AXES}})
+
+        sums = points.select(*by, *AXES).mapInPandas(run, schema).groupBy(*by, "at").agg(F.sum("n").alias("n"), *(F.sum(f"s{a}").alias(f"s{a}") for a in AXES))
+        moved = {k: c.copy() for k, (_, c) in left.items()}
+        for r in sums.collect():  # a row per centre
+            moved[tuple(r)[: len(by)]][r["at"]] = np.array([r[f"s{a}"] for a in AXES]) / r["n"]
+        shared.unpersist()
+        shifts = {k: _shift(c - left[k][1], squared) for k, c in moved.items()}
+        held = held | {k: (held[k][0], c) for k, c in moved.items()}
+        left = {k: held[k] for k, s in shifts.items() if s >= least_shift}
+        if not left:
+            break
+    return held
+
+
+def k_means(points: DataFrame, centres: DataFrame, by: list[str], rounds: int = 100, least_shift: float = 0.01, squared: bool = True, edge: float = 8.0, most_held: int = MOST_HELD) -> tuple[DataFrame, DataFrame]:
     """(assigned points, centres) after Lloyd rounds; a cluster without points keeps its centre.
 
-    Ends when the mean (squared or plain) shift of the centres falls below least_shift, with an assignment to the last centres.
+    A cloud is settled when the mean (squared or plain) shift of its centres falls below least_shift; its points
+    then belong to the last centres. Up to most_held centres are kept by the driver, more are a table.
     """
-    centres = staged(centres.select(*by, "cluster", *(f"c{a}" for a in AXES)), "centres")
+    centres = staged(centres.select(*by, "cluster", *(F.col(f"c{a}").cast("double").alias(f"c{a}") for a in AXES)), "centres")
+    held = held_centres(centres, by, most_held)
+    if held is not None:
+        points = staged(points, "clouds")
+        held = _k_means_held(points, held, by, rounds, least_shift, squared)
+        rows = [(*k, int(c), *map(float, xyz)) for k, (clusters, where) in held.items() for c, xyz in zip(clusters, where, strict=True)]
+        return staged(_assign_held(points, held, by), "assigned"), points.sparkSession.createDataFrame(rows, centres.schema)
+    settled = None
     for _ in range(rounds):
-        means = centroid(assign(points, centres, by, edge), *by, "cluster").select(*by, "cluster", *(F.col(f"c{a}").alias(f"n{a}") for a in AXES))
+        means = centroid(_assign_joined(points, centres, by, edge), *by, "cluster").select(*by, "cluster", *(F.col(f"c{a}").alias(f"n{a}") for a in AXES))
         moved = centres.join(means, [*by, "cluster"], "left").select(*by, "cluster", *(F.col(f"c{a}").alias(f"o{a}") for a in AXES), *(F.coalesce(f"n{a}", f"c{a}").alias(f"c{a}") for a in AXES))
         moved = staged(moved, "moved")
         d2 = sum(((F.col(f"c{a}") - F.col(f"o{a}")) ** 2 for a in AXES[1:]), (F.col("cx") - F.col("ox")) ** 2)
-        shift = moved.agg(F.avg(d2 if squared else F.sqrt(d2)).alias("s")).first()["s"]
-        centres = moved.select(*by, "cluster", *(f"c{a}" for a in AXES))
-        if shift is None or shift < least_shift:
+        done = moved.groupBy(*by).agg(F.avg(d2 if squared else F.sqrt(d2)).alias("s")).where(F.col("s") < least_shift).select(*by)
+        now = moved.select(*by, "cluster", *(f"c{a}" for a in AXES))
+        rest = now.join(done, by, "left_anti")
+        ended = now.join(done, by)
+        settled = staged(ended if settled is None else settled.unionByName(ended), "settled")
+        centres = staged(rest, "centres")
+        if centres.isEmpty():
             break
-    return staged(assign(points, centres, by, edge), "assigned"), centres
+    centres = centres if settled is None else centres.unionByName(settled)
+    return staged(_assign_joined(points, centres, by, edge), "assigned"), centres
 
 
 def grid_seeds(points: DataFrame, by: list[str], per_patch: int, blocks: int) -> DataFrame:
@@ -99,52 +200,103 @@ def close_points(assigned: DataFrame, by: list[str], radius: float) -> DataFrame
     return named.where("a <> b").groupBy(*by, F.col("qid").alias("pid"), "a", "b").agg(F.count("*").alias("hits"))
 
 
-def merge_plan(sizes: dict[int, int], close: np.ndarray, most: float) -> dict[int, int]:
-    """Which cluster each one ends in. close: rows (point, its cluster, another cluster, its points near the point).
+@dataclass
+class Near:
+    """How many points of a cluster have more than CLOSE_POINTS points of another near them, at least and at most, and how many others have some."""
+
+    low: int
+    high: int
+    weak: int
+
+
+def merge_pass(sizes: dict[int, int], near: dict[tuple[int, int], Near], most: float, start: int | None = None) -> tuple[dict[int, int], int | None]:
+    """Which cluster each one ends in, and the cluster where a count is needed (or None). near: by (cluster, other).
 
     From the last cluster back: of the earlier ones with which it fits into `most` points, the first to
     which it is close takes it, and the pass ends at the first cluster that fits with none. A cluster is
     close to another if more than CLOSE_POINTS of its points have more than CLOSE_POINTS points of the
     other near them, both taken with all that they have been merged with.
+
+    When two clusters merge, their points' counts near a third add up; those of a third's
+    points near the two are known within bounds, as points with few near each may have enough near both. Where the
+    bounds don't tell, the pass ends, and goes on from there with the counts of the merged clusters.
     """
     order, size, into = sorted(sizes), dict(sizes), {c: c for c in sizes}
-    point, own, other, hits = close[:, 0], close[:, 1].copy(), close[:, 2].copy(), close[:, 3]
+    rows: dict[int, dict[int, Near]] = {}
+    columns: dict[int, set[int]] = {}
+    for (own, other), n in near.items():
+        rows.setdefault(own, {})[other] = Near(n.low, n.high, n.weak)
+        columns.setdefault(other, set()).add(own)
     for cur in reversed(order[1:]):
+        if start is not None and cur > start:
+            continue
         fits = [k for k in order if k < cur and size[cur] + size[k] <= most]
         if not fits:
             break
-        mine = np.flatnonzero(own == cur)
-        pairs, at = np.unique(np.stack((point[mine], other[mine]), 1), axis=0, return_inverse=True)
-        dense = np.bincount(at.ravel(), hits[mine], len(pairs)) > CLOSE_POINTS
-        counts = dict(zip(*np.unique(pairs[dense, 1], return_counts=True), strict=True))
-        near = [k for k in fits if counts.get(k, 0) > CLOSE_POINTS]
-        if near:
-            size[near[0]] += size.pop(cur)
-            into = {c: near[0] if k == cur else k for c, k in into.items()}
-            own[own == cur] = near[0]
-            other[other == cur] = near[0]
-    return into
+        mine = rows.get(cur, {})
+        for k in fits:
+            n = mine.get(k)
+            if n is None or n.high <= CLOSE_POINTS:
+                continue
+            if n.low <= CLOSE_POINTS:
+                return into, cur
+            size[k] += size.pop(cur)
+            into = {c: k if at == cur else at for c, at in into.items()}
+            for other, count in rows.pop(cur).items():
+                columns[other].discard(cur)
+                if other != k:
+                    have = rows.setdefault(k, {}).setdefault(other, Near(0, 0, 0))
+                    have.low, have.high, have.weak = have.low + count.low, have.high + count.high, have.weak + count.weak
+                    columns[other].add(k)
+            for own in columns.pop(cur, ()):
+                count = rows[own].pop(cur)
+                if own == k:
+                    continue
+                have = rows[own].setdefault(k, Near(0, 0, 0))
+                have.low, have.high, have.weak = max(have.low, count.low), have.high + count.high + min(have.weak, count.weak), have.weak + count.weak
+                columns.setdefault(k, set()).add(own)
+            break
+    return into, None
 
 
 def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) -> DataFrame:
-    """points with clusters merged as merge_plan says, per cloud, and renumbered without gaps.
+    """points with clusters merged as in merge_pass, per cloud, and renumbered without gaps.
 
-    A cloud's points that lie near another cluster meet in one task; a frame's points bound them.
+    A task sees a cloud's pairs of neighbouring clusters, not its points. Where merge_pass needs a count anew, what it
+    has merged so far is written into the table of close points, which Spark counts again for all such clouds at once.
     """
-    own = F.lit(None).cast("long")
-    sizes = assigned.groupBy(*by, "cluster").agg(F.count("*").alias("hits")).select(*by, own.alias("pid"), F.col("cluster").alias("a"), F.lit(None).cast("int").alias("b"), "hits")
-    table = sizes.unionByName(close_points(assigned, by, radius).select(*by, F.col("pid").cast("long").alias("pid"), "a", "b", "hits"))
-    keys = list(by)
+    keys, most = list(by), num * (1 + TOLERANCE)
+    named = ", ".join(f"{c} {assigned.schema[c].dataType.simpleString()}" for c in keys)
+    close = staged(close_points(assigned, by, radius), "close")
+    sizes = staged(assigned.groupBy(*by, F.col("cluster").alias("at")).agg(F.count("*").alias("n")).withColumn("start", F.lit(None).cast("int")), "sizes")
+    state = assigned.select(*by, "cluster", F.col("cluster").alias("at")).distinct()
+    finished = None
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        counted, close = group[group["b"].isna()], group[group["b"].notna()]
-        into = merge_plan(dict(zip(counted["a"].tolist(), counted["hits"].tolist(), strict=True)), close[["pid", "a", "b", "hits"]].to_numpy(np.int64), num * (1 + TOLERANCE))
-        kept = {k: i for i, k in enumerate(sorted(set(into.values())))}
-        return pd.DataFrame({**{c: group[c].iloc[0] for c in keys}, "cluster": list(into), "patch": [kept[k] for k in into.values()]})
-
-    schema = ", ".join([*(f"{c} {assigned.schema[c].dataType.simpleString()}" for c in by), "cluster int, patch int"])
-    plan = table.groupBy(*by).applyInPandas(run, schema)
-    return assigned.join(plan, [*by, "cluster"]).drop("cluster")
+        own, pairs = group[group["b"].isna()], group[group["b"].notna()]
+        counts = {(int(r.a), int(r.b)): Near(int(r.n), int(r.n), int(r.weak)) for r in pairs.itertuples()}
+        start = own["start"].iloc[0]
+        into, needs = merge_pass({int(a): int(n) for a, n in zip(own["a"], own["n"], strict=True)}, counts, most, None if pd.isna(start) else int(start))
+        return pd.DataFrame({**{c: group[c].iloc[0] for c in keys}, "at": list(into), "to": list(into.values()), "start": pd.array([needs] * len(into), "Int32")})
+
+    while True:
+        dense = F.col("hits") > CLOSE_POINTS
+        pairs = close.groupBy(*by, "a", "b").agg(F.count_if(dense).alias("n"), F.count_if(~dense).alias("weak")).withColumn("start", F.lit(None).cast("int"))
+        graph = sizes.select(*by, F.col("at").alias("a"), F.lit(None).cast("int").alias("b"), "n", F.lit(0).cast("long").alias("weak"), "start")
+        plan = staged(graph.unionByName(pairs).groupBy(*by).applyInPandas(run, f"{named}, at int, to int, start int"), "plan")
+        state = staged(state.join(plan, [*by, "at"]).select(*by, "cluster", F.col("to").alias("at"), "start"), "merged")
+        ended = state.where("start is null").drop("start")
+        finished = ended if finished is None else finished.unionByName(ended)
+        state = state.where("start is not null").drop("start")
+        if state.isEmpty():
+            break
+        waiting = plan.where("start is not null")
+        sizes = staged(sizes.drop("start").join(waiting, [*by, "at"]).groupBy(*by, F.col("to").alias("at")).agg(F.sum("n").alias("n"), F.first("start").alias("start")), "sizes")
+        for side in ("a", "b"):
+            close = close.join(waiting.select(*by, F.col("at").alias(side), F.col("to").alias(f"_{side}")), [*by, side]).drop(side).withColumnRenamed(f"_{side}", side)
+        close = staged(close.where("a <> b").groupBy(*by, "pid", "a", "b").agg(F.sum("hits").alias("hits")), "close")
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("at")) - 1  # a row per cluster
+    return assigned.join(finished.select(*by, "cluster", number.cast("int").alias("patch")), [*by, "cluster"]).drop("cluster")
 
 
 def dense_segments(points: DataFrame, by: list[str], num: int = 2048, blocks: int = 8, radius2: float = 10.0, rounds: int = 100, shift: float = 0.01, edge: float = 8.0) -> DataFrame:

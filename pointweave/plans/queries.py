@@ -503,6 +503,16 @@ def ref_segment(spark, sf):
     return out.select("pid", "patch")
 
 
+@query()
+def segmented_frames(spark, sf):
+    """Each frame's patches: a year's first frame segmented anew, the others by the frame before unless it matches badly."""
+    p = _sequence(spark, sf).drop("patch", "type")
+    p = p.withColumn("pid", F.row_number().over(Window.partitionBy("ts").orderBy(*"xyzrgb")).cast("long"))  # one frame's points
+    out = stages.segment(p, CODEC.with_(max_keyframe=12, segment={"num": 128, "block_num": 4}))
+    sums = [F.sum(a).cast("long").alias(f"sum_{a}") for a in "xyz"]
+    return out.groupBy("ts", "patch", "type").agg(F.count("*").alias("n"), *sums)
+
+
 # --- coding ---
 
 
