@@ -8,15 +8,19 @@ pages that have the node,
     presentation importance = -sum(p log p) / log m      over the shares p of its styles
     content importance      = 1 - mean(log c / log m)    over its texts, c the pages with that text
 
-A node is template if neither its own importances nor those of any node below it are high, and enough pages have
-it; its whole branch is removed from every page of the host. All elements are in the tree, those included
-that are never main text by their meaning: navigation, page heads and feet, forms, scripts, and what a site names
-as adverts, notices or comments, whose texts may differ from page to page. They have no importance of their own.
+    apartness               = the share of its pages on which it stands apart from the main text
 
-Where a page marks its article and the marked elements hold at least half of what is left of its text,
-what lies outside them has no importance either; a teaser's mark leaves the rest alone. The branches of a
-marked article are judged like any others, but for pages that are copies of one another: there the tree tells
-copies and not templates, so where over three quarters of a marked article would go, it stays.
+A node is of low importance if it stands apart on most of its pages, or if its presentation importance is low and
+its content importance lies below the gap that its host shows: the level of content is that of the node with the
+most different text that doesn't stand apart, and template texts repeat several times as much. Nodes in an
+article need to repeat on nearly all pages, as headings of sections do on some. A node is template if neither it nor any
+node below it is of high importance; its whole branch is removed from every page of the host. Where the articles
+are copies of one another, the level is low, and they stay.
+
+A node stands apart on a page if it lies in navigation, a page head or foot, or an aside, in an element that the site
+names as an advert, notice or comments - but not if that element holds nearly all text of the page -, or outside
+a marked article that holds at least half of the page's other text. The measures are the tree's, over all pages of the
+host; a page alone tells no more than its own marks. Forms, controls and hidden elements hold no text by their meaning.
 
 The tree is held as sums by (host, path), so a host with a third of all pages is summed like any
 other. The template nodes go to all executors if they number MOST_BROADCAST at most, else pages are
@@ -44,8 +48,12 @@ from pyspark.sql import functions as F
 
 from .common import drop_kept, keep, map_texts, table
 
-#: Pages that must share a node before it is judged, and importances up to which it is template.
-LEAST_PAGES, LOW_PRESENTATION, LOW_CONTENT = 3, 0.5, 0.3
+#: Pages that must share a node before its contents are judged, and the presentation importance up to which it may be template.
+LEAST_PAGES, LOW_PRESENTATION = 3, 0.5
+#: Repetition (1 - content importance) is high from REPEATS times the host's content's plus SLACK, and from OFTEN in an article.
+REPEATS, SLACK, OFTEN = 4.0, 0.02, 0.7
+#: A named element that holds this many times the rest of a page's text is what the page is about.
+NEARLY_ALL = 4
 MOST_BROADCAST = 1 << 20
 
 TAG = re.compile(
@@ -61,8 +69,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 MAIN = frozenset(("article", "main"))
 IN_HEAD = frozenset("base basefont bgsound link meta noframes".split())
-NEVER = frozenset("head nav aside footer form button select option dialog menu object audio video canvas".split())
-#: How sites name what is never main text, as a whole class, id or role or as the first or last part of one ("ad-slot", "site-footer", "comment-list").
+NEVER = frozenset("head form button select option dialog menu object audio video canvas".split())
+BESIDES = frozenset("nav aside footer".split())
+#: How sites name what is not main text, as a whole class, id or role or as the first or last part of one ("ad-slot", "site-footer", "comment-list").
 NAMED = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond share sharing related complementary contentinfo search".split()
 )
@@ -78,21 +87,32 @@ def _noise(name: str) -> bool:
     return bool(parts) and (parts[0] in NAMED or parts[-1] in NAMED) and BESIDE.isdisjoint(parts)
 
 
-@lru_cache(maxsize=1 << 16)
-def _named(tag: str, names: str) -> tuple[str, bool, bool]:
-    """An element's label in paths, whether it is never main text, and whether it is so only outside an article."""
-    return f"{tag}.{names}", tag in NEVER or (tag not in ("body", "html") and any(map(_noise, names.split()))), tag == "header"
+#: What an element tells of its text: nothing, apart outside an article, apart, apart by its name alone, none by its meaning.
+CLEAR, HEADER, APART, NAMES, NONE = range(5)
 
 
-def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+@lru_cache(maxsize=1 << 16)
+def _named(tag: str, names: str, role: str) -> tuple[str, int]:
+    """An element's label in paths, and what it tells."""
+    label = f"{tag}.{names} {role}".strip()
+    if tag in NEVER:
+        return label, NONE
+    if tag in ("body", "html"):
+        return label, CLEAR
+    if tag in BESIDES or any(map(_noise, role.split())):
+        return label, APART
+    return label, NAMES if any(map(_noise, names.split())) else HEADER if tag == "header" else CLEAR
+
+
+def _kind(tag: str, attrs: str) -> tuple[str, int]:
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return _named(tag, "")
+        return _named(tag, "", "")
     found = {}
     for name, *values in ATTR.findall(attrs):
         found.setdefault(name.lower(), next((v for v in values if v), ""))
-    label, noise, head = _named(tag, " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().strip())
+    label, tells = _named(tag, f"{found.get('class', '')} {found.get('id', '')}".lower().strip(), found.get("role", "").lower())
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return label, noise or hidden, head
+    return label, NONE if hidden else tells
 
 
 @lru_cache(maxsize=1 << 16)
@@ -102,24 +122,34 @@ def _below(path: int, label: str) -> int:
 
 @dataclass(frozen=True)
 class Run:
-    """Text without a tag in it: the node it stands in, whether in an article, in what is never main text, and its block."""
+    """Text without a tag in it: the node it stands in, whether in what holds no text by its meaning, and its block."""
 
     path: int
     text: str
-    inside: bool
     dropped: bool
     block: int
 
 
-def walk(page: str) -> tuple[list[Run], dict[int, set[str]], dict[int, int]]:
-    """A page's runs in order, the labels of the children of each node, and the parent of each."""
-    runs, styles, parents = [], {}, {}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, in an article, dropped
+@dataclass
+class Page:
+    """Runs in order; of each node the labels of its children, its parent and what it tells; the nodes in an article."""
+
+    runs: list[Run]
+    styles: dict[int, set[str]]
+    parents: dict[int, int]
+    tells: dict[int, int]
+    inside: set[int]
+
+
+def walk(page: str) -> Page:
+    out = Page([], {}, {}, {}, set())
+    runs, styles, parents = out.runs, out.styles, out.parents
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, in an article, holding no text
     block, at = 0, 0
 
     def text(end: int) -> None:
         if end > at:
-            runs.append(Run(stack[-1][1], page[at:end], stack[-1][2], stack[-1][3], block))
+            runs.append(Run(stack[-1][1], page[at:end], stack[-1][3], block))
 
     for found in TAG.finditer(page):
         text(found.start())
@@ -131,7 +161,7 @@ def walk(page: str) -> tuple[list[Run], dict[int, set[str]], dict[int, int]]:
         _, path, inside, dropped = stack[-1]
         if tag in INLINE:
             if tag == "br":
-                runs.append(Run(path, " ", inside, dropped, block))
+                runs.append(Run(path, " ", dropped, block))
             elif found["end"]:
                 for i in range(len(stack) - 1, 0, -1):  # only inline elements that are never main text, and those in them, are on the stack
                     if stack[i][0] not in INLINE:
@@ -139,7 +169,7 @@ def walk(page: str) -> tuple[list[Run], dict[int, set[str]], dict[int, int]]:
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
-            elif tag not in VOID and (stack[-1][0] in INLINE or _kind(tag, found["attrs"])[1]):
+            elif tag not in VOID and (stack[-1][0] in INLINE or _kind(tag, found["attrs"])[1] != CLEAR):
                 stack.append((tag, path, inside, True))
             continue
         block += 1
@@ -156,15 +186,45 @@ def walk(page: str) -> tuple[list[Run], dict[int, set[str]], dict[int, int]]:
             stack.pop()
         if tag in VOID:
             continue
-        label, noise, head = _kind(tag, found["attrs"])
+        label, tells = _kind(tag, found["attrs"])
         _, path, inside, dropped = stack[-1]
         styles.setdefault(path, set()).add(label)
         below = _below(path, label)
         styles.setdefault(below, set())
         parents[below] = path
-        stack.append((tag, below, inside or tag in MAIN, dropped or noise or (head and not inside)))
+        out.tells[below] = CLEAR if tells == HEADER and inside else tells if tells != NONE else out.tells.get(below, CLEAR)
+        inside = inside or tag in MAIN
+        if inside:
+            out.inside.add(below)
+        stack.append((tag, below, inside, dropped or tells == NONE))
     text(len(page))
-    return runs, styles, parents
+    return out
+
+
+def apart(page: Page) -> set[int]:
+    """The nodes that stand apart from the main text on this page."""
+    sizes: Counter = Counter()
+    for r in page.runs:
+        if not r.dropped:
+            sizes[r.path] += len(r.text) - sum(map(r.text.count, " \n\t"))
+    lines = {p: list(_above(p, page.parents)) for p in page.parents}
+    firm = {p for p, line in lines.items() if any(page.tells[a] in (HEADER, APART) for a in line)}
+    tops: dict[int, int] = {}
+    for p, line in lines.items():
+        if p not in firm and (named := [a for a in line if page.tells[a] == NAMES]):
+            tops[p] = named[-1]
+    clear = sum(n for p, n in sizes.items() if p not in firm and p not in tops)
+    held: Counter = Counter()
+    for p, top in tops.items():
+        held[top] += sizes[p]
+    about = {top for top, n in held.most_common(1) if n > NEARLY_ALL * clear}
+    out = firm | {p for p, top in tops.items() if top not in about}
+    marked = sum(n for p, n in sizes.items() if p in page.inside and p not in out)
+    outside = {p for p in page.parents if p not in page.inside and p not in out}
+    if marked and sum(sizes[p] for p in outside) <= marked:
+        holders = {a for p in page.inside for a in lines[p]}
+        out |= outside - holders
+    return out
 
 
 def _above(path: int, parents: dict[int, int]) -> Iterable[int]:
@@ -191,46 +251,42 @@ def node_key(host: str, path: int) -> int:
 STYLE, TEXT, BELOW = 0, 1, 2
 
 
-def page_nodes(url: str | None, page: str) -> Iterable[tuple[int, int, int]]:
-    """Of each node of a page: (node, STYLE, its children), (node, TEXT, a text directly in it) and (node, BELOW, itself or a node it lies in)."""
-    runs, styles, parents = walk(page)
-    host, texts = host_of(url), {}
-    for r in runs:
-        texts.setdefault((r.path, r.block), []).append(r.text)
+def page_nodes(url: str | None, html: str) -> Iterable[tuple[int, int, int, int, int]]:
+    """Of each node of a page: (host, node, STYLE, its children, 2 if in an article + 1 if apart), (host, node, TEXT, a text directly in it, its length) and (host, node, BELOW, itself or a node it lies in, 0)."""
+    page = walk(html)
+    host, texts, away = host_of(url), {}, apart(page)
+    own = node_key(host, 0)
+    for r in page.runs:
+        if not r.dropped:
+            texts.setdefault((r.path, r.block), []).append(r.text)
     content: dict[int, set[str]] = {}
     for (path, _), raws in texts.items():
         if found := _words("".join(raws)):
             content.setdefault(path, set()).add(found)
-    for path in styles.keys() | content.keys():
+    for path in page.styles.keys() | content.keys():
         if not path:
             continue
         node = node_key(host, path)
-        yield node, STYLE, xxhash.xxh64_intdigest("|".join(sorted(styles.get(path, ())))) - (1 << 63)
+        yield own, node, STYLE, xxhash.xxh64_intdigest("|".join(sorted(page.styles.get(path, ())))) - (1 << 63), 2 * (path in page.inside) + (path in away)
         for found in content.get(path, ()):
-            yield node, TEXT, xxhash.xxh64_intdigest(found) - (1 << 63)
-        for above in _above(path, parents):
-            yield node, BELOW, node_key(host, above)
+            yield own, node, TEXT, xxhash.xxh64_intdigest(found) - (1 << 63), len(found)
+        for above in _above(path, page.parents):
+            yield own, node, BELOW, node_key(host, above), 0
 
 
-def main_text(url: str | None, page: str, template) -> str:
+def main_text(url: str | None, html: str, template) -> str:
     """The page's blocks, one a line. template: tells of a list of nodes which are template."""
-    runs, _, parents = walk(page)
-    runs = [r for r in runs if not r.dropped]
+    page = walk(html)
+    runs = [r for r in page.runs if not r.dropped]
     host = host_of(url)
-    paths = list({p for r in runs for p in _above(r.path, parents)})
+    paths = list({p for r in runs for p in _above(r.path, page.parents)})
     noted = {p for p, t in zip(paths, template([node_key(host, p) for p in paths]), strict=True) if t} if paths else set()
-    gone = {p for p in {r.path for r in runs} if not noted.isdisjoint(_above(p, parents))} if noted else set()
-    sizes = [len(r.text) - r.text.count(" ") for r in runs]
-    marked = sum(n for r, n in zip(runs, sizes, strict=True) if r.inside)
-    left = sum(n for r, n in zip(runs, sizes, strict=True) if r.inside and r.path not in gone)
-    copied = 4 * left < marked  # most of the marked article is on other pages too: copies
-    runs = [r for r in runs if r.path not in gone or (r.inside and copied)]
-    outside = sum(len(r.text) - r.text.count(" ") for r in runs if not r.inside)
-    if marked and outside <= (marked if copied else left):
-        runs = [r for r in runs if r.inside]
+    gone = {p for p in {r.path for r in runs} if not noted.isdisjoint(_above(p, page.parents))} if noted else set()
     blocks: list[list[str]] = []
     last = None
     for r in runs:
+        if r.path in gone:
+            continue
         if r.block != last:
             blocks.append([])
             last = r.block
@@ -239,39 +295,46 @@ def main_text(url: str | None, page: str, template) -> str:
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """(node, kind BELOW, above, pages, presentation, content): the importances of each node, over all pages of its host, for itself and each node it lies in.
+    """(node, above, host, pages, presentation, content, apart, inside, size): the measures of each node, over all pages of its host, for itself and each node it lies in.
 
     A node that one page alone has is of full importance, one without text of its own has no content importance.
+    size: the length of its different texts.
     """
 
     def run(texts: list[str], rest: dict) -> dict:
         sums = Counter(x for url, page in zip(rest["url"].to_pylist(), texts, strict=True) for x in page_nodes(url, page))
-        node, kind, feature = zip(*sums, strict=True) if sums else ((), (), ())
-        return {"node": node, "kind": kind, "feature": feature, "n": list(sums.values())}
+        host, node, kind, feature, more = zip(*sums, strict=True) if sums else ((),) * 5
+        return {"host": host, "node": node, "kind": kind, "feature": feature, "more": more, "n": list(sums.values())}
 
-    seen = map_texts(pages.select("url", "html"), "html", run, "node long, kind int, feature long, n long")
-    sums = keep(seen.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), "site-sums")
+    seen = map_texts(pages.select("url", "html"), "html", run, "host long, node long, kind int, feature long, more int, n long")
+    sums = keep(seen.groupBy("host", "node", "kind", "feature", "more").agg(F.sum("n").alias("n")), "site-sums")
     n, style, text = F.col("n"), F.col("kind") == STYLE, F.col("kind") == TEXT
-    nodes = sums.where(style | text).groupBy("node").agg(
-        F.sum(F.when(style, n)).alias("pages"),
-        F.sum(F.when(style, n * F.log(n.cast("double")))).alias("n_log_n"),
-        F.avg(F.when(text, F.log(n.cast("double")))).alias("log_c"),
-    )
+    # a style's pages may differ in being apart
+    styles = sums.where(style).groupBy("node", "feature").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("more") % 2 == 1, n).otherwise(0)).alias("apart"), F.max("more").alias("more"))
+    shapes = styles.groupBy("node").agg(F.sum("n").alias("pages"), F.sum("apart").alias("apart"), F.max(F.col("more") >= 2).alias("inside"), F.sum(n * F.log(n.cast("double"))).alias("n_log_n"))
+    contents = sums.where(text).groupBy("node").agg(F.avg(F.log(n.cast("double"))).alias("log_c"), F.sum(F.col("more").cast("long")).alias("size"))
     m = F.log(F.col("pages").cast("double"))
     alone = F.col("pages") < 2
-    known = nodes.select(
+    known = shapes.join(contents, "node", "left").select(
         "node",
         "pages",
         F.when(alone, 1.0).otherwise((m - F.col("n_log_n") / F.col("pages")) / m).alias("presentation"),
         F.when(F.col("log_c").isNotNull(), F.when(alone, 1.0).otherwise(1 - F.col("log_c") / m)).alias("content"),
+        (F.col("apart") / F.col("pages")).alias("apart"),
+        "inside",
+        F.coalesce("size", F.lit(0)).alias("size"),
     )
-    return known.join(sums.where(F.col("kind") == BELOW).select("node", F.col("feature").alias("above")), "node")
+    return known.join(sums.where(F.col("kind") == BELOW).select("host", "node", F.col("feature").alias("above")), "node")
 
 
 def template_nodes(tree: DataFrame) -> DataFrame:
     """The nodes whose whole branches are template."""
-    high = F.expr(f"presentation > {LOW_PRESENTATION} or coalesce(content, 0) > {LOW_CONTENT} or pages < {LEAST_PAGES}")
-    return tree.groupBy(F.col("above").alias("node")).agg(F.max(high).alias("high")).where("not high").select("node")
+    most = F.max_by(1 - F.col("content"), F.struct("size", "node"))
+    level = tree.where("content is not null and apart <= 0.5 and above = node").groupBy("host").agg(most.alias("level"))
+    gap = f"case when inside then greatest({OFTEN}, (1 + level) / 2) else least({REPEATS} * level + {SLACK}, (1 + level) / 2) end"
+    high = F.expr(f"apart <= 0.5 and (presentation > {LOW_PRESENTATION} or pages < {LEAST_PAGES} or coalesce(1 - content <= coalesce({gap}, 1) + 1e-9, false))")
+    judged = tree.join(level, "host", "left")
+    return judged.groupBy(F.col("above").alias("node")).agg(F.max(high).alias("high")).where("not high").select("node")
 
 
 def extract_text(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -299,7 +362,7 @@ def extract_text(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Data
         return map_texts(rows, "html", run, schema)
 
     def nodes_of(texts: list[str], rest: dict) -> dict:
-        found = [sorted({n for n, kind, _ in page_nodes(u, x) if kind == STYLE}) for u, x in zip(rest["url"].to_pylist(), texts, strict=True)]
+        found = [sorted({x[1] for x in page_nodes(u, page) if x[2] == STYLE}) for u, page in zip(rest["url"].to_pylist(), texts, strict=True)]
         return {"url": rest["url"], "html": texts, "nodes": found}
 
     def run_joined(texts: list[str], rest: dict) -> dict:

@@ -169,9 +169,8 @@ def test_template_branches_go_from_marked_articles_too(spark, tag):
         assert rows(html_text.extract_text(pages, bound), "page_id", "text") == sorted([(i, f"Own words {i} of page {i}") for i in range(12)], key=str)
 
 
-def test_names_that_tell_of_neighbours_and_nested_inline_adverts():
-    none = lambda asked: [False] * len(asked)
-    for page, want in [
+def test_what_stands_apart_on_single_pages(spark):
+    cases = [
         ('<article class="post has-comments"><p>kept</p></article>', "kept"),
         ('<div class="content-with-sidebar"><p>kept</p></div>', "kept"),
         ('<div class="entry no-sidebar">kept</div><div class="left-sidebar">gone</div>', "kept"),
@@ -179,8 +178,33 @@ def test_names_that_tell_of_neighbours_and_nested_inline_adverts():
         ('<article class="teaser">short</article><div><p>the body of the page lies outside of its teaser</p></div>', "short\nthe body of the page lies outside of its teaser"),
         ('<main><p>all the words of the article stand here</p></main><div>more</div>', "all the words of the article stand here"),
         ('<ol class="comment-list"><li id="comment-7">gone</li></ol><div role="navigation">gone</div><p hidden>gone</p>kept', "kept"),
-    ]:
-        assert html_text.main_text("http://a.example", page, none) == want
+        # names that tell of adverts and the like, but hold the text of the page
+        ('<nav>menu</nav><article class="related-work"><h1>kept</h1><p>and kept</p></article><footer>foot</footer>', "kept\nand kept"),
+        ('<article class="legal notice"><p>kept</p></article>', "kept"),
+        ('<main><section class="share-price-analysis"><p>kept</p></section></main>', "kept"),
+        ('<nav>menu</nav><div class="study search"><p>kept</p></div>', "kept"),
+        ('<section id="comment-on-the-law"><p>kept</p></section><div role="banner">gone</div>', "kept"),
+        ('<p>kept, all of it</p><div id="comments"><p>gone, and three times as long as what is kept</p></div>', "kept, all of it"),
+    ]
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", page) for i, (page, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for i, (page, want) in enumerate(cases):
+        assert got[i] == want, page
+
+
+def test_gap_of_a_host_tells_templates_that_vary(spark):
+    """Boxes without telling names, from a pool of texts, go; with the nodes of the tree switched off they stay. Copies of one article stay."""
+    rnd = random.Random(3)
+    pool = [f"offer number {i} of our shop" for i in range(20)]
+    page = "<body><div class='x1'>{0}</div><div class='x2'><h2>{1}</h2><p>{2}</p></div><div class='x3'><ul><li>{3}</li></ul></div></body>"
+    words = lambda n: " ".join(f"w{rnd.randint(0, 500)}" for _ in range(n))
+    texts = [(f"Title {words(4)}", words(60)) for _ in range(60)]
+    made = [(i, f"http://site.example/{i}", page.format(rnd.choice(pool), *texts[i], rnd.choice(pool))) for i in range(60)]
+    copies = [(100 + i, f"http://copies.example/{i}", f"<body><nav>menu</nav><article><h1>{texts[0][0]}</h1><p>{texts[0][1]}</p></article></body>") for i in range(9)]
+    pages = spark.createDataFrame(made + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert all(got[i] == "\n".join(texts[i]) for i in range(60)) and all(got[100 + i] == "\n".join(texts[0]) for i in range(9))
+    assert html_text.main_text("http://site.example/1", made[1][2], lambda asked: [False] * len(asked)).count("offer") == 2
 
 
 def test_importances_are_brute_force(spark):
@@ -189,11 +213,15 @@ def test_importances_are_brute_force(spark):
 
     pages = [f"<body><div class='top'><p>Same</p><ul>{'<li>x</li>' * (i % 2)}</ul></div><article><h1>Title {i}</h1>{'<p>words %d</p>' % i * (i % 3)}<div class='box'><p>About us</p><em>all</em></div></article></body>" for i in range(9)]
     rows_ = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
-    seen = {}
+    seen, sizes, away = {}, {}, {}
     for _, url, page in rows_:
-        for node, kind, feature in html_text.page_nodes(url, page):
+        for _, node, kind, feature, more in html_text.page_nodes(url, page):
             entry = seen.setdefault(node, ([], [], set()))
             entry[2].add(feature) if kind == html_text.BELOW else entry[kind].append(feature)
+            if kind == html_text.TEXT:
+                sizes.setdefault(node, {})[feature] = more
+            elif kind == html_text.STYLE:
+                away.setdefault(node, []).append(more)
     want = {}
     for node, (styles, texts, above) in seen.items():
         m = len(styles)
@@ -209,7 +237,15 @@ def test_importances_are_brute_force(spark):
     for node, (m, p, c, above) in want.items():
         assert got[node][0] == m and math.isclose(got[node][1], p, abs_tol=1e-9) and got[node][3] == above
         assert (got[node][2] is None) == (c is None) and (c is None or math.isclose(got[node][2], c, abs_tol=1e-9))
-    high = lambda n: want[n][1] > html_text.LOW_PRESENTATION or (want[n][2] or 0) > html_text.LOW_CONTENT or want[n][0] < html_text.LEAST_PAGES
+    apart = {n: sum(x % 2 for x in xs) / len(xs) for n, xs in away.items()}
+    heaviest = max((n for n in sizes if apart[n] <= 0.5), key=lambda n: sum(sizes[n].values()))
+    level = 1 - want[heaviest][2]
+
+    def high(n):
+        m, presentation, content, _ = want[n]
+        gap = max(0.7, (1 + level) / 2) if away[n][0] >= 2 else min(4 * level + 0.02, (1 + level) / 2)
+        return apart[n] <= 0.5 and (presentation > 0.5 or m < 3 or (content is not None and 1 - content <= gap + 1e-9))
+
     branch = {n for n in want if not any(high(d) for d in want if n in want[d][3])}
     assert {r.node for r in html_text.template_nodes(tree).collect()} == branch and branch
 
