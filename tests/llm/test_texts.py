@@ -289,6 +289,40 @@ def test_templates_need_their_mandatory_words():
         licenses.Automaton("<<var 3>>")
 
 
+def written(markup: str) -> tuple[list[str], list[int]]:
+    """A notice as someone would publish it: optional parts left out, names put in; and which of its words are mandatory."""
+    words, own, depth = [], [], 0
+    for kind, most, word in licenses.MARK.findall(markup):
+        depth += (kind == "optional") - (kind == "/optional")
+        if kind == "var" and not depth:
+            words += ["acme"] * min(int(most), 2)
+        elif word and not depth:
+            own.append(len(words))
+            words.append(word)
+    return words, own
+
+
+@pytest.mark.parametrize("label, markup", [x for x in licenses.TEMPLATES if len(x[1].split()) > 25])
+def test_whole_notices_need_all_their_wording(label, markup):
+    words, own = written(markup)
+
+    def whole(text):
+        """Labels of what is accepted but for statements within the notice."""
+        return {x for x, start, end in licenses.scan(" ".join(text).upper())["accepted"] if end - start >= len(words) - 3}
+
+    assert whole(words) == whole(["some", "text", *words, "more"]) == {label}
+    rnd = random.Random(label)
+    for at in rnd.sample(own, min(len(own), 25)):
+        assert whole([*words[:at], "friday", *words[at + 1 :]]) == whole([*words[:at], *words[at + 1 :]]) == set(), words[at]
+
+
+def test_altered_grants_are_no_licences():
+    labels = lambda text: {x[0] for x in licenses.scan(text)["accepted"]}
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to look at them for one day.") == set()
+    assert labels("Redistribution and use in source and binary forms, with or without modification, are permitted to employees of Acme only.") == set()
+    assert labels("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License if you ask.") == set()
+
+
 def test_license_scan_of_odd_rows(docs):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert (got[1].labels, got[1].n_base, got[1].first_word) == ("mit", 1, 1)
