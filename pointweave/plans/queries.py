@@ -505,10 +505,10 @@ def ref_segment(spark, sf):
 
 @query()
 def segmented_frames(spark, sf):
-    """Each frame's patches: every fourth frame segmented anew, the others by the frame before unless it matches badly."""
+    """Each frame's patches: every other frame segmented anew, the rest by the frame before unless it matches badly."""
     p = _sequence(spark, sf).drop("patch", "type")
     p = p.withColumn("pid", F.row_number().over(Window.partitionBy("ts").orderBy(*"xyzrgb")).cast("long"))  # one frame's points
-    out = stages.segment(p, CODEC.with_(max_keyframe=4, segment={"num": 512, "block_num": 4}))
+    out = stages.segment(p, CODEC.with_(max_keyframe=2, segment={"num": 512, "block_num": 4}))
     sums = [F.sum(a).cast("long").alias(f"sum_{a}") for a in "xyz"]
     return out.groupBy("ts", "patch", "type").agg(F.count("*").alias("n"), *sums)
 
