@@ -3,7 +3,7 @@
 Neighbour joins deal points into cubic cells and join a query with the cells around its own, so they
 are equi-joins on (group, cell). A nearest neighbour found within a cell's edge is exact; queries
 without one are asked again with cells of twice the edge, which ends after log2(extent / edge)
-rounds. No side is broadcast and no cross join is made.
+rounds. Points at one place are one row of these joins. No side is broadcast but for tables of one row.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def _cell(axis: str, edge: Column | float) -> Column:
     return F.floor(F.col(axis) / edge)
 
 
-def _around(df: DataFrame, edge: float, names: tuple[str, ...]) -> DataFrame:
+def _around(df: DataFrame, edge: Column | float, names: tuple[str, ...]) -> DataFrame:
     """A row for each of the 27 cells around a point's own."""
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     for a, n in zip(AXES, names, strict=True):
@@ -51,35 +51,64 @@ def _around(df: DataFrame, edge: float, names: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k: int = 1, edge: float = 8.0, most_rounds: int = 40) -> DataFrame:
+def _places(points: DataFrame, by: tuple[str, ...], key: str, names: tuple[str, ...], k: int | None = None) -> DataFrame:
+    """A row for each place that holds points: by..., the coordinates and n, the points there, or, if k is given, ids, its k least keys."""
+    at = points.select(*by, key, *(F.col(a).cast("double").alias(n) for a, n in zip(AXES, names, strict=True)))
+    if k is None:
+        return at.groupBy(*by, *names).agg(F.count("*").alias("n"))
+    if k == 1:
+        return at.groupBy(*by, *names).agg(F.array(F.min(key)).alias("ids"))
+    ranked = at.withColumn("_r", F.row_number().over(Window.partitionBy(*by, *names).orderBy(key))).where(f"_r <= {k}")
+    return ranked.groupBy(*by, *names).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+
+
+def _first_edges(places: DataFrame, by: tuple[str, ...], k: int, edge: float) -> DataFrame:
+    """by..., _edge: the given edge, halved until a cell holds about k places on the mean of a group's box (a power of two of it)."""
+    box = places.groupBy(*by).agg(F.count("*").alias("_n"), *(F.greatest(F.max(f"t{a}") - F.min(f"t{a}"), F.lit(edge / 1024)).alias(f"_{a}") for a in AXES))
+    room = F.col("_x") * F.col("_y") * F.col("_z") * (k + 1) / F.col("_n")
+    halved = F.least(F.greatest(F.ceil(-F.log2(F.cbrt(room) / edge)), F.lit(0)), F.lit(10))
+    return box.select(*by, (F.lit(edge) / F.pow(F.lit(2.0), halved)).alias("_edge"))
+
+
+def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k: int = 1, edge: float = 8.0, most_rounds: int = 50) -> DataFrame:
     """The k nearest targets of each query: by..., qid, tid, d2, rank (from 1; ties go to the least tid).
 
     queries: by..., qid, x, y, z; targets: by..., tid, x, y, z. Groups with fewer than k targets give
-    all of them, groups without give none.
+    all of them, groups without give none. Places are compared, not points: however many points coincide,
+    a place is asked once, and stands with its k least targets. The first cells are as small as a group is dense.
     """
-    cells = ("_cx", "_cy", "_cz")
-    order = Window.partitionBy(*by, "qid").orderBy("d2", "tid")
-    own = targets.select(*by, "tid", *(F.col(a).cast("double").alias(f"t{a}") for a in AXES))
-    known = targets.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_most"))
-    left = queries.select(*by, "qid", *(F.col(a).cast("double").alias(a) for a in AXES))
-    left = left.join(known, list(by), "left_semi") if by else left
-    done = None
-    for _ in range(most_rounds):
-        dealt = own.select("*", *(F.floor(F.col(f"t{a}") / edge).alias(c) for a, c in zip(AXES, cells, strict=True)))
-        met = _around(left, edge, cells).join(dealt, [*by, *cells]).withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz")))
+    cells, here, there = ("_cx", "_cy", "_cz"), ("_qx", "_qy", "_qz"), ("tx", "ty", "tz")
+    own = staged(_places(targets, by, "tid", there, k), "places")
+    edges = _first_edges(own, by, k, edge)
+    known = own.groupBy(*by).agg(F.least(F.sum(F.size("ids")), F.lit(k)).alias("_most"))
+    own = own.join(edges, list(by)) if by else own.crossJoin(F.broadcast(edges))  # a single row
+    asked = _places(queries, by, "qid", here).drop("n")
+    start = edges.join(known, list(by)) if by else edges.crossJoin(F.broadcast(known))
+    asked = asked.join(start, list(by)) if by else asked.crossJoin(F.broadcast(start))
+    asked = left = staged(asked.select(*by, *here, "_edge", "_most"), "asked")
+    left = left.withColumns({a: F.col(h) for a, h in zip(AXES, here, strict=True)})
+    sides, done = [*by, *here], None
+    for i in range(most_rounds):
+        size = F.col("_edge") * float(2**i)
+        dealt = own.select(*by, "ids", *there, *(F.floor(F.col(t) / size).alias(c) for t, c in zip(there, cells, strict=True)))
+        met = _around(left, size, cells).join(dealt, [*by, *cells]).withColumn("d2", squared_distance(AXES, there)).withColumn("_sure", size * size)
         if k == 1:  # a minimum, summed before the shuffle
-            sure = met.groupBy(*by, "qid").agg(F.min(F.struct("d2", "tid")).alias("m")).select(*by, "qid", "m.tid", "m.d2", F.lit(1).alias("rank")).where(f"d2 <= {edge * edge}D")
+            least = met.groupBy(*sides).agg(F.min(F.struct("d2", F.col("ids")[0].alias("tid"))).alias("m"), F.first("_sure").alias("_sure"))
+            sure = least.select(*sides, "m.tid", "m.d2", F.lit(1).alias("rank"), "_sure").where("d2 <= _sure")
         else:
-            ranked = met.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-            near = ranked.join(known, list(by)) if by else ranked.crossJoin(F.broadcast(known))  # a single row
-            sure = near.where(f"d2 <= {edge * edge}D").withColumn("_got", F.count("*").over(Window.partitionBy(*by, "qid"))).where("_got = _most")
-        found = staged(sure.select(*by, "qid", "tid", "d2", "rank"), "nearest")
+            # a place that k others precede gives none; of equally far ones all stay until their targets are ranked
+            places = met.where("d2 <= _sure").withColumn("_r", F.rank().over(Window.partitionBy(*sides).orderBy("d2"))).where(f"_r <= {k}")
+            ranked = places.select(*sides, "_most", "d2", F.explode("ids").alias("tid")).withColumn("rank", F.row_number().over(Window.partitionBy(*sides).orderBy("d2", "tid"))).where(f"rank <= {k}")
+            sure = ranked.withColumn("_got", F.count("*").over(Window.partitionBy(*sides))).where("_got = _most")
+        found = staged(sure.select(*sides, "tid", "d2", "rank"), "nearest")
         done = found if done is None else done.unionByName(found)
-        left = staged(left.join(found.select(*by, "qid").distinct(), [*by, "qid"], "left_anti"), "unmet")
+        left = staged(left.join(found.select(*sides).distinct(), sides, "left_anti"), "unmet")
         if left.isEmpty():
-            return done
-        edge *= 2
-    raise ValueError(f"points further apart than {edge}")
+            break
+    else:
+        raise ValueError(f"points further apart than {edge * 2.0**most_rounds}")
+    ends = queries.select(*by, "qid", *(F.col(a).cast("double").alias(h) for a, h in zip(AXES, here, strict=True)))
+    return ends.join(done, sides).select(*by, "qid", "tid", "d2", "rank")
 
 
 def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -91,9 +120,15 @@ def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tup
 
 
 def neighbours_in_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """How many targets each query has within the radius, 0 included."""
-    counts = within_radius(queries, targets, radius, by).groupBy(*by, "qid").agg(F.count("*").alias("n"))
-    return queries.select(*by, "qid").join(counts, [*by, "qid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """How many targets each query has within the radius, 0 included. Places are compared, and count for the points they hold."""
+    here, there = ("_qx", "_qy", "_qz"), ("_tx", "_ty", "_tz")
+    cells = ("_cx", "_cy", "_cz")
+    asked = _places(queries, by, "qid", here).select(*by, *here, *(F.col(h).alias(a) for a, h in zip(AXES, here, strict=True)))
+    dealt = _places(targets, by, "tid", there).select(*by, "n", *there, *(_cell(t, radius).alias(c) for t, c in zip(there, cells, strict=True)))
+    met = _around(asked, radius, cells).join(dealt, [*by, *cells]).where(squared_distance(AXES, there) <= radius * radius)
+    counts = met.groupBy(*by, *here).agg(F.sum("n").alias("n"))
+    ends = queries.select(*by, "qid", *(F.col(a).cast("double").alias(h) for a, h in zip(AXES, here, strict=True)))
+    return ends.join(counts, [*by, *here], "left").select(*by, "qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def conditional_nearest(queries: DataFrame, targets: DataFrame, limits: DataFrame, by: tuple[str, ...] = (), k: int = 5) -> DataFrame:
