@@ -193,11 +193,15 @@ def grid_seeds(points: DataFrame, by: list[str], per_patch: int, blocks: int) ->
 
 
 def close_points(assigned: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """(by..., pid, a, b, hits): how many points of another cluster b lie within the radius of a point of cluster a."""
-    targets = assigned.select(*by, F.col("pid").alias("tid"), "cluster", *AXES)
-    pairs = within_radius(assigned.withColumnRenamed("pid", "qid"), targets, radius, tuple(by))
-    named = pairs.join(assigned.select(*by, F.col("pid").alias("qid"), F.col("cluster").alias("a")), [*by, "qid"]).join(targets.select(*by, "tid", F.col("cluster").alias("b")), [*by, "tid"])
-    return named.where("a <> b").groupBy(*by, F.col("qid").alias("pid"), "a", "b").agg(F.count("*").alias("hits"))
+    """(by..., pid, a, b, hits, points): how many points of another cluster b lie within the radius of a point of cluster a.
+
+    Points of a cluster at one place have the same near them: they are one row, of the least pid, which counts for `points`.
+    """
+    places = staged(assigned.groupBy(*by, "cluster", *AXES).agg(F.min("pid").alias("pid"), F.count("*").alias("points")), "places")
+    targets = places.select(*by, F.col("pid").alias("tid"), F.col("cluster").alias("b"), F.col("points").alias("n"), *AXES)
+    queries = places.select(*by, F.col("pid").alias("qid"), F.col("cluster").alias("a"), "points", *AXES)
+    pairs = within_radius(queries, targets, radius, tuple(by), here=("a", "points"), there=("b", "n"))
+    return pairs.where("a <> b").groupBy(*by, F.col("qid").alias("pid"), "a", "b").agg(F.sum("n").alias("hits"), F.first("points").alias("points"))
 
 
 @dataclass
@@ -281,7 +285,7 @@ def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) ->
 
     while True:
         dense = F.col("hits") > CLOSE_POINTS
-        pairs = close.groupBy(*by, "a", "b").agg(F.count_if(dense).alias("n"), F.count_if(~dense).alias("weak")).withColumn("start", F.lit(None).cast("int"))
+        pairs = close.groupBy(*by, "a", "b").agg(F.sum(F.when(dense, F.col("points")).otherwise(0)).alias("n"), F.sum(F.when(dense, 0).otherwise(F.col("points"))).alias("weak")).withColumn("start", F.lit(None).cast("int"))
         graph = sizes.select(*by, F.col("at").alias("a"), F.lit(None).cast("int").alias("b"), "n", F.lit(0).cast("long").alias("weak"), "start")
         plan = staged(graph.unionByName(pairs).groupBy(*by).applyInPandas(run, f"{named}, at int, to int, start int"), "plan")
         state = staged(state.join(plan, [*by, "at"]).select(*by, "cluster", F.col("to").alias("at"), "start"), "merged")
@@ -294,7 +298,7 @@ def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) ->
         sizes = staged(sizes.drop("start").join(waiting, [*by, "at"]).groupBy(*by, F.col("to").alias("at")).agg(F.sum("n").alias("n"), F.first("start").alias("start")), "sizes")
         for side in ("a", "b"):
             close = close.join(waiting.select(*by, F.col("at").alias(side), F.col("to").alias(f"_{side}")), [*by, side]).drop(side).withColumnRenamed(f"_{side}", side)
-        close = staged(close.where("a <> b").groupBy(*by, "pid", "a", "b").agg(F.sum("hits").alias("hits")), "close")
+        close = staged(close.where("a <> b").groupBy(*by, "pid", "a", "b").agg(F.sum("hits").alias("hits"), F.first("points").alias("points")), "close")
     number = F.dense_rank().over(Window.partitionBy(*by).orderBy("at")) - 1  # a row per cluster
     return assigned.join(finished.select(*by, "cluster", number.cast("int").alias("patch")), [*by, "cluster"]).drop("cluster")
 

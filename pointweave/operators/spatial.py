@@ -111,12 +111,12 @@ def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k:
     return ends.join(done, sides).select(*by, "qid", "tid", "d2", "rank")
 
 
-def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (by..., qid, tid, d2) at most radius apart."""
+def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = (), here: tuple[str, ...] = (), there: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (by..., qid, tid, d2) at most radius apart, with the columns `here` of queries and `there` of targets."""
     cells = ("_cx", "_cy", "_cz")
-    dealt = targets.select(*by, "tid", *(F.col(a).alias(f"t{a}") for a in AXES), *(_cell(a, radius).alias(c) for a, c in zip(AXES, cells, strict=True)))
-    met = _around(queries.select(*by, "qid", *AXES), radius, cells).join(dealt, [*by, *cells])
-    return met.withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz"))).where(F.col("d2") <= radius * radius).select(*by, "qid", "tid", "d2")
+    dealt = targets.select(*by, "tid", *there, *(F.col(a).alias(f"t{a}") for a in AXES), *(_cell(a, radius).alias(c) for a, c in zip(AXES, cells, strict=True)))
+    met = _around(queries.select(*by, "qid", *here, *AXES), radius, cells).join(dealt, [*by, *cells])
+    return met.withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz"))).where(F.col("d2") <= radius * radius).select(*by, "qid", "tid", "d2", *here, *there)
 
 
 def neighbours_in_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
