@@ -8,15 +8,18 @@ that of fitting.fitting_cloud for each group, whose recursion this is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, Kind
+from ..functions.batches import columns_of, runs
 from ..functions.scalar import power_above
 from ..params import Params, SplitMethod
-from ..plans.store import staged
+from ..plans.store import dealt, staged
 from .fitting import HALVES, clustered
 
 AXES = ("x", "y", "z")
@@ -101,11 +104,15 @@ def fitting_clouds(points: DataFrame, params: Params, *by: str, seed: int = 0) -
     for r in ready[1:]:
         parts = parts.unionByName(r)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["member", "pid"])
-        centres = clustered(rows[list(AXES)].to_numpy(float), int(rows["members"].iloc[0]), key[-1], params, seed)
-        return pd.DataFrame({**dict(zip(by, key[:-1], strict=True)), **{a: centres[:, i] for i, a in enumerate(AXES)}})
+    own = [*by, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Most parts are small: they pass one after another, a row of a batch for each of their centres."""
+        for rows in runs(batches, *own):
+            centres = clustered(columns_of(rows, AXES), rows["members"][0].as_py(), rows["part"][0].as_py(), params, seed)
+            same = [pa.array([rows[c][0].as_py()] * len(centres), rows[c].type) for c in by]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(centres[:, i]) for i in range(3))], names=[*by, *AXES])
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "x double, y double, z double"])
-    return parts.groupBy(*by, "part").applyInPandas(run, schema)
+    return dealt(parts, *own).sortWithinPartitions(*own, "member", "pid").mapInArrow(run, schema)
