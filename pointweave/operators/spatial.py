@@ -3,7 +3,8 @@
 Neighbour joins deal points into cubic cells and join a query with the cells around its own, so they
 are equi-joins on (group, cell). A nearest neighbour found within a cell's edge is exact; queries
 without one are asked again with cells of twice the edge, which ends after log2(extent / edge)
-rounds. Points at one place are one row of these joins. No side is broadcast but for tables of one row.
+rounds. Rows are dealt by blocks of cells, a target also to the blocks it borders on, so that a query's
+27 cells are unfolded, joined and summed in one task and none of these rows is shuffled. Points at one place are one row of these joins. No side is broadcast but for tables of one row.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import squared_distance
-from ..plans.store import staged
+from ..plans.store import settings, staged
 
 AXES = ("x", "y", "z")
+#: Cells along an edge of a block, and places of queries and targets that a task is meant to get.
+BLOCK, PLACES = 8, 1 << 14
 
 
 def bounding_box(points: DataFrame, *by: str) -> DataFrame:
@@ -70,45 +73,59 @@ def _first_edges(places: DataFrame, by: tuple[str, ...], k: int, edge: float) ->
     return box.select(*by, (F.lit(edge) / F.pow(F.lit(2.0), halved)).alias("_edge"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k: int = 1, edge: float = 8.0, most_rounds: int = 50) -> DataFrame:
-    """The k nearest targets of each query: by..., qid, tid, d2, rank (from 1; ties go to the least tid).
-
-    queries: by..., qid, x, y, z; targets: by..., tid, x, y, z. Groups with fewer than k targets give
-    all of them, groups without give none. Places are compared, not points: however many points coincide,
-    a place is asked once, and stands with its k least targets. The first cells are as small as a group is dense.
-    """
-    cells, here, there = ("_cx", "_cy", "_cz"), ("_qx", "_qy", "_qz"), ("tx", "ty", "tz")
+def _nearest_places(queries: DataFrame, targets: DataFrame, by: tuple[str, ...], k: int, edge: float, most_rounds: int) -> DataFrame:
+    """by..., _qx, _qy, _qz, tid, d2, rank, tx, ty, tz: the k nearest targets of each place that holds queries."""
+    spark = queries.sparkSession
+    cells, blocks, here, there = ("_cx", "_cy", "_cz"), ("_bx", "_by", "_bz"), ("_qx", "_qy", "_qz"), ("tx", "ty", "tz")
     own = staged(_places(targets, by, "tid", there, k), "places")
     edges = _first_edges(own, by, k, edge)
     known = own.groupBy(*by).agg(F.least(F.sum(F.size("ids")), F.lit(k)).alias("_most"))
-    own = own.join(edges, list(by)) if by else own.crossJoin(F.broadcast(edges))  # a single row
     asked = _places(queries, by, "qid", here).drop("n")
     start = edges.join(known, list(by)) if by else edges.crossJoin(F.broadcast(known))
     asked = asked.join(start, list(by)) if by else asked.crossJoin(F.broadcast(start))
-    asked = left = staged(asked.select(*by, *here, "_edge", "_most"), "asked")
-    left = left.withColumns({a: F.col(h) for a, h in zip(AXES, here, strict=True)})
-    sides, done = [*by, *here], None
+    left = staged(asked.select(*by, *here, "_edge", "_most"), "asked")
+    own = own.join(edges, list(by)) if by else own.crossJoin(F.broadcast(edges))  # a single row
+    most, n_asked = own.count(), left.count()
+    sides, done = [*by, *blocks, *here], None
     for i in range(most_rounds):
         size = F.col("_edge") * float(2**i)
+        tasks = max(1, -(-(most + n_asked) // PLACES))
         dealt = own.select(*by, "ids", *there, *(F.floor(F.col(t) / size).alias(c) for t, c in zip(there, cells, strict=True)))
-        met = _around(left, size, cells).join(dealt, [*by, *cells]).withColumn("d2", squared_distance(AXES, there)).withColumn("_sure", size * size)
-        if k == 1:  # a minimum, summed before the shuffle
-            least = met.groupBy(*sides).agg(F.min(F.struct("d2", F.col("ids")[0].alias("tid"))).alias("m"), F.first("_sure").alias("_sure"))
-            sure = least.select(*sides, "m.tid", "m.d2", F.lit(1).alias("rank"), "_sure").where("d2 <= _sure")
+        for c, b in zip(cells, blocks, strict=True):
+            dealt = dealt.withColumn(b, F.explode(F.array_distinct(F.array(*(F.floor((F.col(c) + s) / BLOCK) for s in (-1, 1))))))
+        dealt = dealt.repartition(tasks, *by, *blocks)
+        around = left.withColumns({b: F.floor(F.floor(F.col(h) / size) / BLOCK) for h, b in zip(here, blocks, strict=True)}).repartition(tasks, *by, *blocks)
+        around = _around(around.withColumns({a: F.col(h) for a, h in zip(AXES, here, strict=True)}), size, cells)
+        met = around.join(dealt, [*by, *blocks, *cells]).withColumn("d2", squared_distance(AXES, there)).where(F.col("d2") <= size * size)
+        if k == 1:
+            least = met.groupBy(*sides).agg(F.min(F.struct("d2", F.col("ids")[0].alias("tid"), *there)).alias("m"))
+            sure = least.select(*sides, "m.*", F.lit(1).alias("rank"))
         else:
             # a place that k others precede gives none; of equally far ones all stay until their targets are ranked
-            places = met.where("d2 <= _sure").withColumn("_r", F.rank().over(Window.partitionBy(*sides).orderBy("d2"))).where(f"_r <= {k}")
-            ranked = places.select(*sides, "_most", "d2", F.explode("ids").alias("tid")).withColumn("rank", F.row_number().over(Window.partitionBy(*sides).orderBy("d2", "tid"))).where(f"rank <= {k}")
+            places = met.withColumn("_r", F.rank().over(Window.partitionBy(*sides).orderBy("d2"))).where(f"_r <= {k}")
+            ranked = places.select(*sides, "_most", "d2", *there, F.explode("ids").alias("tid")).withColumn("rank", F.row_number().over(Window.partitionBy(*sides).orderBy("d2", "tid"))).where(f"rank <= {k}")
             sure = ranked.withColumn("_got", F.count("*").over(Window.partitionBy(*sides))).where("_got = _most")
-        found = staged(sure.select(*sides, "tid", "d2", "rank"), "nearest")
+        with settings(spark, ALL_KEYS="false"):
+            found = staged(sure.select(*by, *here, "tid", "d2", "rank", *there), "nearest")
         done = found if done is None else done.unionByName(found)
-        left = staged(left.join(found.select(*sides).distinct(), sides, "left_anti"), "unmet")
-        if left.isEmpty():
-            break
-    else:
-        raise ValueError(f"points further apart than {edge * 2.0**most_rounds}")
-    ends = queries.select(*by, "qid", *(F.col(a).cast("double").alias(h) for a, h in zip(AXES, here, strict=True)))
-    return ends.join(done, sides).select(*by, "qid", "tid", "d2", "rank")
+        left = staged(left.join(found.where("rank = 1").select(*by, *here), [*by, *here], "left_anti"), "unmet")
+        n_asked = left.count()
+        if not n_asked:
+            return done
+    raise ValueError(f"points further apart than {edge * 2.0**most_rounds}")
+
+
+def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k: int = 1, edge: float = 8.0, most_rounds: int = 50, more: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest targets of each query: by..., qid, tid, d2, rank (from 1; ties go to the least tid), and the columns `more` of queries and tx, ty, tz if any are named.
+
+    queries: by..., qid, x, y, z; targets: by..., tid, x, y, z. Groups with fewer than k targets give
+    all of them, groups without give none. Places are compared, not points: however many points coincide,
+    a place is asked once, and stands with its k least targets. The first cells are as small as a group is dense.
+    """
+    done = _nearest_places(queries, targets, by, k, edge, most_rounds)
+    here = ("_qx", "_qy", "_qz")
+    ends = queries.select(*by, "qid", *more, *(F.col(a).cast("double").alias(h) for a, h in zip(AXES, here, strict=True)))
+    return ends.join(done, [*by, *here]).select(*by, "qid", "tid", "d2", "rank", *more, *(("tx", "ty", "tz") if more else ()))
 
 
 def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = (), here: tuple[str, ...] = (), there: tuple[str, ...] = ()) -> DataFrame:

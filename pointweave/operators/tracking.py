@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import affine
 from ..params import Icp
-from ..plans.store import staged
+from ..plans.store import dropped, outlast, passing, staged
 from .registration import align_centroids, check
 from .spatial import conditional_nearest, nearest
 
@@ -38,10 +38,9 @@ def rigid_from_sums(n: float, source: np.ndarray, target: np.ndarray, products:
 
 
 def _pairs(points: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
-    """by..., patch, the points x, y, z and their nearest of the target, tx, ty, tz, with d2."""
-    found = nearest(points.select(*by, F.col("pid").alias("qid"), *AXES), target.select(*by, F.col("pid").alias("tid"), *AXES), tuple(by))
-    ends = target.select(*by, F.col("pid").alias("tid"), *(F.col(a).alias(f"t{a}") for a in AXES))
-    return points.join(found.withColumnRenamed("qid", "pid"), [*by, "pid"]).join(ends, [*by, "tid"])
+    """by..., patch, pid, the points x, y, z and their nearest of the target, tid, tx, ty, tz, with d2."""
+    found = nearest(points.select(*by, "patch", F.col("pid").alias("qid"), *AXES), target.select(*by, F.col("pid").alias("tid"), *AXES), tuple(by), more=("patch", *AXES))
+    return found.withColumnRenamed("qid", "pid")
 
 
 def _applied(points: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
@@ -72,31 +71,39 @@ def registered(points: DataFrame, target: DataFrame, by: list[str], icp: Icp) ->
                 rows.append([*(r[c] for c in (*by, "patch")), mv.ravel().tolist(), r["mse"] if r["n"] >= 3 else None, bool(ends)])
             yield pd.DataFrame(rows, columns=[*by, "patch", "step", "before", "ends"])
 
+    spark = points.sparkSession
     left = points.select(*by, "patch", "pid", *AXES)
     before = points.select(*by, "patch").distinct().withColumn("before", F.lit(None).cast("double"))
     done, failed = [], []
     for i in range(icp.iteration_ths):
-        near = _pairs(left, target, by).where(F.col("d2") <= icp.correspondence_ths**2)
-        sums = near.groupBy(*by, "patch").agg(
-            F.count("*").alias("n"), F.avg("d2").alias("mse"), *(F.sum(a).alias(f"s{a}") for a in AXES), *(F.sum(f"t{a}").alias(f"t{a}") for a in AXES), *(F.sum(F.col(a) * F.col(f"t{b}")).alias(f"p{a}{b}") for a, b in products)
-        )
-        asked = before.join(sums, [*by, "patch"], "left").fillna(0, ["n"])
-        steps = staged(asked.mapInPandas(step, f"{kinds}, step array<double>, before double, ends boolean"), "steps")
+        with passing(spark):  # a round leaves its steps and each point once, settled or not
+            near = _pairs(left, target, by).where(F.col("d2") <= icp.correspondence_ths**2)
+            sums = near.groupBy(*by, "patch").agg(
+                F.count("*").alias("n"), F.avg("d2").alias("mse"), *(F.sum(a).alias(f"s{a}") for a in AXES), *(F.sum(f"t{a}").alias(f"t{a}") for a in AXES), *(F.sum(F.col(a) * F.col(f"t{b}")).alias(f"p{a}{b}") for a, b in products)
+            )
+            asked = before.join(sums, [*by, "patch"], "left").fillna(0, ["n"])
+            steps = outlast(asked.mapInPandas(step, f"{kinds}, step array<double>, before double, ends boolean"), "steps")
         moved = staged(_applied(left, steps, by), "moved")
+        if i:
+            dropped(left)
         ended = steps.select(*by, "patch").where("ends" if i + 1 < icp.iteration_ths else "true")
-        done.append(moved.join(ended, [*by, "patch"], "left_semi"))
         failed.append(steps.where("before is null").select(*by, "patch"))
         before = steps.where("not ends").select(*by, "patch", "before")
-        left = moved.join(before, [*by, "patch"], "left_semi")
+        done.append(staged(moved.join(ended, [*by, "patch"], "left_semi"), "done"))
         if before.isEmpty():
             break
+        left = staged(moved.join(before, [*by, "patch"], "left_semi"), "left")
+        dropped(moved)
     settled, lost = done[0], failed[0]
     for d, f in zip(done[1:], failed[1:], strict=True):
         settled, lost = settled.unionByName(d), lost.unionByName(f)
-    settled = staged(settled, "settled")
+    for used in (moved, left) if i else (moved,):
+        dropped(used)
     lost = lost.select(*by, "patch", F.lit(False).alias("converged"))
-    final = _pairs(settled, target, by).groupBy(*by, "patch").agg(F.avg("d2").alias("mse")).join(lost, [*by, "patch"], "left").withColumn("converged", F.coalesce("converged", F.lit(True)))
-    return settled, staged(final.select(*by, "patch", F.when(F.col("converged"), F.col("mse")).otherwise(-1.0).alias("mse"), "converged"), "errors")
+    with passing(spark):
+        final = _pairs(settled, target, by).groupBy(*by, "patch").agg(F.avg("d2").alias("mse")).join(lost, [*by, "patch"], "left").withColumn("converged", F.coalesce("converged", F.lit(True)))
+        errors = outlast(final.select(*by, "patch", F.when(F.col("converged"), F.col("mse")).otherwise(-1.0).alias("mse"), "converged"), "errors")
+    return settled, errors
 
 
 def track(patches: DataFrame, target: DataFrame, by: list[str], icp: Icp | None = None) -> tuple[DataFrame, DataFrame]:
@@ -108,9 +115,14 @@ def track(patches: DataFrame, target: DataFrame, by: list[str], icp: Icp | None
     icp = icp or Icp()
     here = patches.select(*by, "patch", "pid", *(F.col(a).cast("double").alias(a) for a in AXES))
     goal = target.select(*by, "pid", *(F.col(a).cast("double").alias(a) for a in AXES))
-    if icp.centroid_alignment:
-        here = align_centroids(here, goal, by)
-    moved, errors = registered(staged(shifted(staged(here, "centred"), goal, by), "shifted"), goal, by, icp)
+    spark = patches.sparkSession
+    with passing(spark):
+        if icp.centroid_alignment:
+            here = staged(align_centroids(here, goal, by), "centred")
+        start = outlast(shifted(here, goal, by), "shifted")
+    moved, errors = registered(start, goal, by, icp)
+    dropped(start)
     limits = errors.select(*by, "patch", (TIMES * F.col("mse")).alias("limit"))
-    hits = conditional_nearest(goal.withColumnRenamed("pid", "qid"), moved.withColumnRenamed("pid", "tid"), limits, tuple(by), NEIGHBOURS)
-    return target.join(hits.select(*by, F.col("qid").alias("pid"), "patch"), [*by, "pid"]), errors
+    with passing(spark):
+        hits = outlast(conditional_nearest(goal.withColumnRenamed("pid", "qid"), moved.withColumnRenamed("pid", "tid"), limits, tuple(by), NEIGHBOURS).select(*by, F.col("qid").alias("pid"), "patch"), "hits")
+    return target.join(hits, [*by, "pid"]), errors

@@ -1,10 +1,13 @@
 """Tracking of patches on tables against the same on arrays."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from pointweave.operators import registration, tracking
+from pointweave.operators import registration, spatial, tracking
 from pointweave.params import Icp
+from pointweave.plans.store import shared_folder
 
 RNG = np.random.default_rng(11)
 
@@ -68,3 +71,29 @@ def test_sums_give_the_rigid_motion():
     a = RNG.uniform(0, 9, (50, 3))
     b = a @ np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]]).T + [1, 2, 3] + RNG.normal(0, 0.1, (50, 3))
     assert np.allclose(tracking.rigid_from_sums(50, a.sum(0), b.sum(0), a.T @ b), registration.rigid(a, b))
+
+
+def test_rounds_leave_no_stages_behind(spark):
+    """What a round staged goes with it; of a track, settled points, errors and hits stay."""
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "stages"
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    rows = [(0, i // 20, i, *map(float, p)) for i, p in enumerate(RNG.uniform(0, 12, (40, 3)))]
+    patches = spark.createDataFrame(rows, "ts int, patch int, pid long, x double, y double, z double")
+    before = names()
+    out, errors = tracking.track(patches, patches.drop("patch"), ["ts"], Icp(iteration_ths=3))
+    assert {n.split("-")[0] for n in names() - before} <= {"steps", "done", "errors", "hits"}
+    assert out.count() == 40 and errors.count() == 2
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_over_borders_of_blocks(spark, k):
+    """Against brute force, in groups of several blocks, with ties, far points and negative places."""
+    grid = np.array([(x, y, z) for x in range(-12, 12, 2) for y in range(-9, 9, 3) for z in (-4, 0, 4)], float)
+    groups = {0: (RNG.integers(-14, 14, (150, 3)).astype(float), grid), 1: (RNG.uniform(-300, 300, (60, 3)), RNG.uniform(-30, 30, (400, 3)))}
+    schema = "g int, {0} long, x double, y double, z double"
+    queries, targets = (spark.createDataFrame([(g, i, *map(float, p)) for g, both in groups.items() for i, p in enumerate(both[s])], schema.format(n)) for s, n in enumerate(("qid", "tid")))
+    got = {(r.g, r.qid, r["rank"]): r.tid for r in spatial.nearest(queries, targets, ("g",), k).collect()}
+    for g, (q, t) in groups.items():
+        for i, p in enumerate(q):
+            d2 = ((t - p) ** 2).sum(1)
+            assert [got[g, i, n + 1] for n in range(k)] == np.lexsort((np.arange(len(t)), d2))[:k].tolist()
