@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError, Kind
 from ..functions.entropy import rlgr_decode, zstd_decode
 from ..functions.scalar import COLOR_ZSTD, GEOMETRY_ZSTD, PREDICT, SKIP, VALID, affine, yuv_to_rgb
-from ..plans.store import staged
+from ..plans.store import dropped, staged, staged_evenly
 from ..sources.formats import geometry_bytes
 from .codec import Tree
 from .octree import inverse_raht, raht, stream_order
@@ -127,10 +127,15 @@ def inverse_predicted(coefficients: DataFrame, leaf: DataFrame, frames: DataFram
     spread = frames.select(*own, "ts").join(leaf.select(*own, "depth", "key"), own)
     found = inverse_raht(coefficients, spread, *own, "ts", values=values)
     given = spread.select(*own, "ts", "key").join(found, [*own, "ts", "key"], "left")
-    given = staged(given.select(*own, "ts", "key", *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values)), "inverse")
+    # a leaf meets an ancestor of each level in each frame
+    rows = spread.agg(F.sum("depth")).first()[0] or 0
+    given = staged_evenly(given.select(*own, "ts", "key", *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values)), "inverse", rows)
     reference = given.where("ts = intra").select(*own, "key", *(F.col(v).alias(f"_{v}") for v in values))
     both = given.join(reference, [*own, "key"], "left")
-    return both.select(*by, "ts", "intra", "key", *((F.col(v) + F.when(F.col("ts") != F.col("intra"), F.col(f"_{v}")).otherwise(0.0)).alias(v) for v in values))
+    out = both.select(*by, "ts", "intra", "key", *((F.col(v) + F.when(F.col("ts") != F.col("intra"), F.col(f"_{v}")).otherwise(0.0)).alias(v) for v in values))
+    out = staged_evenly(out, "predicted", rows)
+    dropped(given)
+    return out
 
 
 def decode(slices: DataFrame) -> DataFrame:

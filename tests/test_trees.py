@@ -9,6 +9,7 @@ from pointweave.functions.scalar import GEOMETRY_ZSTD
 from pointweave.functions.entropy import zstd_decode
 from pointweave.operators import buffers, codec, trees
 from pointweave.params import Params
+from pointweave.plans import store
 from pointweave.schemas import SLICES
 from pointweave.sources.formats import EYE, slice_of
 
@@ -107,3 +108,16 @@ class Recorded(codec.Decoder):
             return super().decode(s)
         finally:
             codec.to_rgb = rgb
+
+
+def test_tasks_grow_in_number_with_rows(spark):
+    """Shuffles of a stage have as many partitions as its rows need, and the session's settings stay."""
+    before = spark.conf.get(store.PARTITIONS), spark.conf.get(store.TASK_BYTES)
+    df = spark.range(4000).groupBy((F.col("id") % 997).alias("k")).agg(F.count("*").alias("n"))
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(store, "staged", lambda d, name: seen.append((spark.conf.get(store.PARTITIONS), spark.conf.get(store.TASK_BYTES))) or d)
+        store.staged_evenly(df, "even", 50 * store.TASK_ROWS + 1)
+        store.staged_evenly(df, "even", 1)
+    assert [int(n) for n, _ in seen] == [51, int(before[0])] and seen[0][1] == "4m"
+    assert before == (spark.conf.get(store.PARTITIONS), spark.conf.get(store.TASK_BYTES))
