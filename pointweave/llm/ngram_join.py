@@ -28,6 +28,7 @@ only doc_id and text are read. Sets hold 64-bit hashes, taken to be distinct for
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, few, give_back, keep, map_texts, slices, table, texts_of
+from .common import drop_kept, few, give_back, keep, keep_parts, map_texts, slices, table, texts_of
 from .graph import components
 from .shingles import shingle_set
 
@@ -45,6 +46,8 @@ PERCENT = 80
 SIGNATURE = 8
 #: Shingles that are ordered by their counts, and the least count of one; a bound on what is broadcast, not on results.
 FREQUENT, LEAST_COUNT = 1 << 19, 4
+#: Parts in which shingles are counted and sets are joined with their bounds, one after the other, so that disk holds the rows of one.
+PARTS = 4
 #: Least shingles that a round of stars looks at (from the first, how many), and how many a document shares with its centre.
 ROUNDS, SHARED = ((1, 6), (7, 6)), 2
 #: Cost of verifying a candidate, in postings read, and the count taken for shingles not among the frequent.
@@ -129,14 +132,18 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return keep(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def _repeated(sets: DataFrame) -> DataFrame:
-    """(shingle, classes) of the shingles that several of the sets in column `set` have."""
-    return sets.select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+def _of_part(shingles: DataFrame, part: int) -> DataFrame:
+    return shingles.where(F.pmod(F.shiftright("shingle", 16), F.lit(PARTS)) == part)
 
 
-def _shared(sets: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(node, shingle): the repeated shingles of each id."""
-    own = sets.select(F.col("id").alias("node"), F.explode("set").alias("shingle"))
+def _repeated(sets: DataFrame, part: int) -> DataFrame:
+    """(shingle, classes) of a part of the shingles: those that several of the sets in column `set` have."""
+    return _of_part(sets.select(F.explode("set").alias("shingle")), part).groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+
+
+def _shared(sets: DataFrame, repeated: DataFrame, part: int) -> DataFrame:
+    """(node, shingle): the repeated shingles of each id, of a part."""
+    own = _of_part(sets.select(F.col("id").alias("node"), F.explode("set").alias("shingle")), part)
     return own.join(few(repeated.select("shingle")), "shingle", "left_semi")
 
 
@@ -147,18 +154,36 @@ def _signature() -> list[Column]:
     return [F.count("*").alias("bound"), F.array(*parts).alias("signature")]
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
+
+
 def linkable(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, repeated): id, n, set and bound of the documents that may link with another, and the shingles that several of them have."""
-    met = keep(_repeated(heads), "met")
-    found = _shared(heads, met).groupBy("node").agg(F.count("*").alias("found")).join(heads.select("id", "n"), F.col("node") == F.col("id"))
-    ids = keep(found.where(f"found >= least(greatest(12, (n + 15) div 16), ({PERCENT} * n + 99) div 100)").select("id").distinct(), "ahead")
-    whole = keep(_sets(docs, ids), "whole")
-    repeated = keep(_repeated(whole), "repeated")
-    bounds = keep(_shared(whole, repeated).groupBy("node").agg(*_signature()), "bounds")
-    sets = keep(whole.join(bounds, F.col("id") == F.col("node")).where(f"bound >= ({PERCENT} * n + 99) div 100").select("id", "n", "set", "bound", "signature"), "sets")
-    for used in (met, ids, whole, bounds):
+    """(sets, repeated): id, n, set and bound of the documents that may link with another, and the shingles that several of them have. Drops heads."""
+    found = []
+    for part in range(PARTS):
+        met = keep(_repeated(heads, part), "met")
+        found.append(keep(_shared(heads, met, part).groupBy("node").agg(F.count("*").alias("found")), "found"))
+        drop_kept(met)
+    total = _union(found).groupBy("node").agg(F.sum("found").alias("found")).join(heads.select("id", "n"), F.col("node") == F.col("id"))
+    ids = keep(total.where(f"found >= least(greatest(12, (n + 15) div 16), ({PERCENT} * n + 99) div 100)").select("id").distinct(), "ahead")
+    for used in (*found, heads):
+        drop_kept(used)
+    whole = keep_parts(_sets(docs, ids), "whole", "id", PARTS)
+    drop_kept(ids)
+    repeated, bounds = [], []
+    for part in range(PARTS):
+        repeated.append(keep(_repeated(_union(whole), part), "repeated"))
+        bounds.append(keep(_shared(_union(whole), repeated[-1], part).groupBy("node").agg(*_signature()), "bounds"))
+    signature = [F.bit_or(F.col("signature")[i]) for i in range(SIGNATURE)]
+    bound = keep(_union(bounds).groupBy("node").agg(F.sum("bound").alias("bound"), F.array(*signature).alias("signature")), "bound")
+    sets = []
+    for own in whole:
+        sets.append(keep(own.join(bound, F.col("id") == F.col("node")).where(f"bound >= ({PERCENT} * n + 99) div 100").select("id", "n", "set", "bound", "signature"), "sets"))
+        drop_kept(own)
+    for used in (*bounds, bound):
         drop_kept(used)
-    return sets, repeated
+    return _union(sets), _union(repeated)
 
 
 def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -252,13 +277,14 @@ def candidates(sets: DataFrame, groups: DataFrame, frequent: tuple[np.ndarray, n
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
-    described = keep(_described(docs), "described")
-    own = keep(described.select("doc_id", "n", "s1", "s2"), "own")
+    described = keep_parts(_described(docs), "described", "doc_id", PARTS)
+    own = keep(_union(described).select("doc_id", "n", "s1", "s2"), "own")
     classes = keep(own.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
-    heads = keep(described.where("n > 0").join(classes.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.col("head").alias("set")), "heads")
-    drop_kept(described)
-    sets, repeated = linkable(docs, heads)
-    drop_kept(heads)
+    heads = []
+    for part in described:
+        heads.append(keep(part.where("n > 0").join(classes.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.col("head").alias("set")), "heads"))
+        drop_kept(part)
+    sets, repeated = linkable(docs, _union(heads))
 
     groups = None
     for first, length in ROUNDS:
