@@ -2,10 +2,11 @@
 
 Equal vectors are one class from the start, so copies are neither compared nor moved. Each class has
 its home in the cell of the nearest centre. Two linked vectors can lie on both sides of a cell's
-border, so a vector is also a guest of every cell whose border is nearer than MARGIN times the
-distance that a linked partner keeps along one direction (chord / sqrt(dimension)); margin=None takes
-the whole chord, within which no partner can be missed, at a much higher cost. At MARGIN = 4 the
-recall measured against brute force is 1.0 on the tables here (see the tests); all pairs that are
+border. How much better each likes its own centre adds up to what lies between them along one
+direction, so one of them is within half of that of the border, and a vector is a guest of every cell
+whose border is that near: half of MARGIN times the distance that a linked partner keeps along one
+direction (chord / sqrt(dimension)); margin=None takes half the whole chord, with which no partner
+can be missed, at a much higher cost. At MARGIN = 4 the recall measured against brute force is 1.0 on the tables here (see the tests); all pairs that are
 found are exact, in double precision.
 
 The rows of a cell are dealt into blocks of BLOCK rows, and each pair of home blocks, and each home
@@ -34,7 +35,7 @@ from .common import drop_kept, keep, table
 from .graph import components
 
 THRESHOLD = 0.95
-SAMPLE, ROUNDS, MOST_CELLS, CELL_ROWS = 32_768, 12, 2048, 2048
+SAMPLE, ROUNDS, MOST_CELLS, CELL_ROWS = 32_768, 12, 2048, 128
 MARGIN = 4.0
 BLOCK = 1024
 #: Rows whose cosines with all centres are held at once: 32 MB for MOST_CELLS.
@@ -58,6 +59,12 @@ def distances(centres: np.ndarray) -> np.ndarray:
     return apart
 
 
+def reach(threshold: float, margin: float | None, dim: int) -> float:
+    """How much better, by distance of centres, a vector may like its own centre to be a guest of another's cell; rounding is allowed for."""
+    chord = np.sqrt(2 - 2 * threshold)
+    return float((chord if margin is None else margin * chord / np.sqrt(max(dim, 1))) / 2 + 1e-9)
+
+
 def unit(values: list | np.ndarray | None) -> np.ndarray | None:
     """The vector at length 1 in double precision, or None if it can't link."""
     if values is None or not len(values) or any(v is None for v in values):
@@ -109,7 +116,7 @@ def _units(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, dim int, point binary, k1 long, k2 long")
 
 
-def _placed(classes: DataFrame, dim: int, centres: np.ndarray, reach: float) -> DataFrame:
+def _placed(classes: DataFrame, dim: int, centres: np.ndarray, near_by: float) -> DataFrame:
     """Each class with its home cell and the cells that it is a guest of; other dimensions have a cell each, -dimension."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
@@ -128,7 +135,7 @@ def _placed(classes: DataFrame, dim: int, centres: np.ndarray, reach: float) ->
                     like = held[lo : lo + ROWS] @ centre.T
                     at = like.argmax(1)
                     best = like[np.arange(len(mine)), at]
-                    near = (best[:, None] - like) <= reach * apart[at]
+                    near = (best[:, None] - like) <= near_by * apart[at]
                     near[np.arange(len(mine)), at] = False
                     homes[mine] = at
                     for i, row in zip(mine.tolist(), near, strict=True):
@@ -172,8 +179,9 @@ def _compare(threshold: float):
                 at = np.flatnonzero(links[:, j])
                 links[[i for i in at if homes[right[j]] in guests[left[i]]], j] = False
         n = np.zeros(len(ids), np.int64)
-        np.add.at(n, left, links @ copies[right])
-        np.add.at(n, right, links.T @ copies[left])
+        a, b = np.nonzero(links)
+        np.add.at(n, left[a], copies[right[b]])
+        np.add.at(n, right[b], copies[left[a]])
         some = np.flatnonzero(n)
         stars = _stars(links, ids[left], ids[right]) if len(some) else []
         return pa.table(
@@ -197,8 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     cells = max(1, min(MOST_CELLS, n // cell_rows))
     sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("k1"), "k1", "k2").select("point").limit(SAMPLE).collect() if n else []
     centres = spherical_k_means(np.frombuffer(b"".join(bytes(r["point"]) for r in sample), np.float64).reshape(-1, dim), min(cells, len(sample))) if n else np.zeros((1, 1))
-    chord = float(np.sqrt(2 - 2 * threshold))
-    placed = keep(_placed(classes, dim, centres, chord if margin is None else margin * chord / np.sqrt(max(dim, 1))), "placed")
+    placed = keep(_placed(classes, dim, centres, reach(threshold, margin, dim)), "placed")
 
     member = placed.select("*", F.explode(F.concat(F.array("home"), F.col("guests"))).alias("cell")).withColumn("guest", F.col("cell") != F.col("home"))
     # one row a cell: at most MOST_CELLS and one for each other dimension
