@@ -183,7 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("label = 0").orderBy(*order).limit(SAMPLE).unionAll(known.where("label = 1").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE ids, a bound that holds at every size; repeated documents give their rows once
     rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return fit([(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
+    model = fit([(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
+    give_back()  # the driver's memory of the sample
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
