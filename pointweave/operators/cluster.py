@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError, Kind
-from ..plans.store import staged
-from .spatial import AXES, centroid, nearest, with_block, within_radius
+from ..plans.store import append, new_stage, staged
+from .registration import Cells
+from .spatial import AXES, CELLS, centroid, nearest, with_block, within_radius
 from .windows import apportion
 
 #: A merged or kept cluster may be this much larger than its target.
@@ -25,6 +26,8 @@ TOLERANCE = 0.2
 CLOSE_POINTS = 4
 #: Centres that go to all tasks, about 3 MB; more are joined.
 MOST_HELD = 1 << 16
+#: Distances to centres that are held at once.
+PAIRS = 1 << 18
 
 
 def split_once(points: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -59,8 +62,10 @@ def split_to(points: DataFrame, by: list[str], most: int, rounds: int = 64) -> D
 
 
 def nearest_centres(xyz: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The place of each point's nearest centre (ties: the first), in blocks of a bounded size."""
-    step = max(1, (1 << 20) // max(1, len(centres)))
+    """The place of each point's nearest centre (ties: the first), by cells where pairs are many."""
+    if len(xyz) * len(centres) > PAIRS and np.isfinite(xyz).all() and np.isfinite(centres).all():
+        return Cells(centres).nearest(xyz)[0]
+    step = max(1, PAIRS // max(1, len(centres)))
     out = np.empty(len(xyz), np.int64)
     for i in range(0, len(xyz), step):
         d = xyz[i : i + step, None] - centres[None]
@@ -139,7 +144,7 @@ def _k_means_held(points: DataFrame, held: Held, by: list[str], rounds: int, lea
         moved = {k: c.copy() for k, (_, c) in left.items()}
         for r in sums.collect():  # a row per centre
             moved[tuple(r)[: len(by)]][r["at"]] = np.array([r[f"s{a}"] for a in AXES]) / r["n"]
-        shared.unpersist()
+        shared.destroy()
         shifts = {k: _shift(c - left[k][1], squared) for k, c in moved.items()}
         held = held | {k: (held[k][0], c) for k, c in moved.items()}
         left = {k: held[k] for k, s in shifts.items() if s >= least_shift}
@@ -192,16 +197,22 @@ def grid_seeds(points: DataFrame, by: list[str], per_patch: int, blocks: int) ->
     return chosen.select(*by, number.cast("int").alias("cluster"), *(f"c{a}" for a in AXES))
 
 
-def close_points(assigned: DataFrame, by: list[str], radius: float) -> DataFrame:
+def close_points(assigned: DataFrame, by: list[str], radius: float, most: float | None = None) -> DataFrame:
     """(by..., pid, a, b, hits, points): how many points of another cluster b lie within the radius of a point of cluster a.
 
     Points of a cluster at one place have the same near them: they are one row, of the least pid, which counts for `points`.
+    If `most` is given, only clusters that have no more points together are paired: merged ones have more still.
     """
-    places = staged(assigned.groupBy(*by, "cluster", *AXES).agg(F.min("pid").alias("pid"), F.count("*").alias("points")), "places")
-    targets = places.select(*by, F.col("pid").alias("tid"), F.col("cluster").alias("b"), F.col("points").alias("n"), *AXES)
-    queries = places.select(*by, F.col("pid").alias("qid"), F.col("cluster").alias("a"), "points", *AXES)
-    pairs = within_radius(queries, targets, radius, tuple(by), here=("a", "points"), there=("b", "n"))
-    return pairs.where("a <> b").groupBy(*by, F.col("qid").alias("pid"), "a", "b").agg(F.sum("n").alias("hits"), F.first("points").alias("points"))
+    sizes = assigned.groupBy(*by, "cluster").agg(F.count("*").alias("size"))
+    places = assigned.groupBy(*by, "cluster", *AXES).agg(F.min("pid").alias("pid"), F.count("*").alias("points"))
+    places = staged(places.join(sizes, [*by, "cluster"]), "places")
+    targets = places.select(*by, F.col("pid").alias("tid"), F.col("cluster").alias("b"), F.col("points").alias("n"), F.col("size").alias("size_b"), *AXES)
+    queries = places.select(*by, F.col("pid").alias("qid"), F.col("cluster").alias("a"), "points", F.col("size").alias("size_a"), *AXES)
+    pairs = within_radius(queries, targets, radius, tuple(by), here=("a", "points", "size_a"), there=("b", "n", "size_b"))
+    pairs = pairs.where("a <> b") if most is None else pairs.where((F.col("a") != F.col("b")) & (F.col("size_a") + F.col("size_b") <= most))
+    # a query's cell is its own: rows are dealt by it already
+    sums = pairs.groupBy(*by, *CELLS, F.col("qid").alias("pid"), "a", "b").agg(F.sum("n").alias("hits"), F.first("points").alias("points"))
+    return sums.drop(*CELLS)
 
 
 @dataclass
@@ -225,27 +236,28 @@ def merge_pass(sizes: dict[int, int], near: dict[tuple[int, int], Near], most: f
     points near the two are known within bounds, as points with few near each may have enough near both. Where the
     bounds don't tell, the pass ends, and goes on from there with the counts of the merged clusters.
     """
-    order, size, into = sorted(sizes), dict(sizes), {c: c for c in sizes}
+    order, size, members = sorted(sizes), dict(sizes), {c: [c] for c in sizes}
+    left, at_of = np.array([size[c] for c in order]), {c: i for i, c in enumerate(order)}
     rows: dict[int, dict[int, Near]] = {}
     columns: dict[int, set[int]] = {}
     for (own, other), n in near.items():
         rows.setdefault(own, {})[other] = Near(n.low, n.high, n.weak)
         columns.setdefault(other, set()).add(own)
-    for cur in reversed(order[1:]):
+    needs = None
+    for i in range(len(order) - 1, 0, -1):
+        cur = order[i]
         if start is not None and cur > start:
             continue
-        fits = [k for k in order if k < cur and size[cur] + size[k] <= most]
-        if not fits:
+        if not (left[:i] + size[cur] <= most).any():
             break
         mine = rows.get(cur, {})
-        for k in fits:
-            n = mine.get(k)
-            if n is None or n.high <= CLOSE_POINTS:
-                continue
-            if n.low <= CLOSE_POINTS:
-                return into, cur
+        for k in sorted(k for k, n in mine.items() if k < cur and n.high > CLOSE_POINTS and size[cur] + size[k] <= most):
+            if mine[k].low <= CLOSE_POINTS:
+                needs = cur
+                break
             size[k] += size.pop(cur)
-            into = {c: k if at == cur else at for c, at in into.items()}
+            left[at_of[k]] = size[k]
+            members[k] += members.pop(cur)
             for other, count in rows.pop(cur).items():
                 columns[other].discard(cur)
                 if other != k:
@@ -260,7 +272,9 @@ def merge_pass(sizes: dict[int, int], near: dict[tuple[int, int], Near], most: f
                 have.low, have.high, have.weak = max(have.low, count.low), have.high + count.high + min(have.weak, count.weak), have.weak + count.weak
                 columns.setdefault(k, set()).add(own)
             break
-    return into, None
+        if needs is not None:
+            break
+    return {c: k for k, cs in members.items() for c in cs}, needs
 
 
 def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) -> DataFrame:
@@ -271,10 +285,10 @@ def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) ->
     """
     keys, most = list(by), num * (1 + TOLERANCE)
     named = ", ".join(f"{c} {assigned.schema[c].dataType.simpleString()}" for c in keys)
-    close = staged(close_points(assigned, by, radius), "close")
+    close = staged(close_points(assigned, by, radius, most), "close")
     sizes = staged(assigned.groupBy(*by, F.col("cluster").alias("at")).agg(F.count("*").alias("n")).withColumn("start", F.lit(None).cast("int")), "sizes")
     state = assigned.select(*by, "cluster", F.col("cluster").alias("at")).distinct()
-    finished = None
+    finished = new_stage(assigned.sparkSession, "finished")  # a folder, so that no plan grows with the rounds
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own, pairs = group[group["b"].isna()], group[group["b"].notna()]
@@ -290,7 +304,7 @@ def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) ->
         plan = staged(graph.unionByName(pairs).groupBy(*by).applyInPandas(run, f"{named}, at int, to int, start int"), "plan")
         state = staged(state.join(plan, [*by, "at"]).select(*by, "cluster", F.col("to").alias("at"), "start"), "merged")
         ended = state.where("start is null").drop("start")
-        finished = ended if finished is None else finished.unionByName(ended)
+        append(ended, finished)
         state = state.where("start is not null").drop("start")
         if state.isEmpty():
             break
@@ -300,7 +314,8 @@ def merge_small(assigned: DataFrame, by: list[str], num: int, radius: float) ->
             close = close.join(waiting.select(*by, F.col("at").alias(side), F.col("to").alias(f"_{side}")), [*by, side]).drop(side).withColumnRenamed(f"_{side}", side)
         close = staged(close.where("a <> b").groupBy(*by, "pid", "a", "b").agg(F.sum("hits").alias("hits"), F.first("points").alias("points")), "close")
     number = F.dense_rank().over(Window.partitionBy(*by).orderBy("at")) - 1  # a row per cluster
-    return assigned.join(finished.select(*by, "cluster", number.cast("int").alias("patch")), [*by, "cluster"]).drop("cluster")
+    merged = assigned.sparkSession.read.schema(ended.schema).parquet(finished)
+    return assigned.join(merged.select(*by, "cluster", number.cast("int").alias("patch")), [*by, "cluster"]).drop("cluster")
 
 
 def dense_segments(points: DataFrame, by: list[str], num: int = 2048, blocks: int = 8, radius2: float = 10.0, rounds: int = 100, shift: float = 0.01, edge: float = 8.0) -> DataFrame:

@@ -18,6 +18,7 @@ from ..plans.store import settings, staged
 AXES = ("x", "y", "z")
 #: Cells along an edge of a block, and places of queries and targets that a task is meant to get.
 BLOCK, PLACES = 8, 1 << 14
+CELLS = ("_cx", "_cy", "_cz")
 
 
 def bounding_box(points: DataFrame, *by: str) -> DataFrame:
@@ -129,11 +130,15 @@ def nearest(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), k:
 
 
 def within_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = (), here: tuple[str, ...] = (), there: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (by..., qid, tid, d2) at most radius apart, with the columns `here` of queries and `there` of targets."""
-    cells = ("_cx", "_cy", "_cz")
-    dealt = targets.select(*by, "tid", *there, *(F.col(a).alias(f"t{a}") for a in AXES), *(_cell(a, radius).alias(c) for a, c in zip(AXES, cells, strict=True)))
-    met = _around(queries.select(*by, "qid", *here, *AXES), radius, cells).join(dealt, [*by, *cells])
-    return met.withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz"))).where(F.col("d2") <= radius * radius).select(*by, "qid", "tid", "d2", *here, *there)
+    """Pairs (by..., qid, tid, d2) at most radius apart, with the columns `here` of queries, `there` of targets, and the query's cell, CELLS.
+
+    Rows are dealt by the query's cell, to which go the targets of the cells around it. Neither side is broadcast,
+    however small its file: packed columns of cells take many times that in a driver's memory.
+    """
+    dealt = _around(targets.select(*by, "tid", *there, *AXES), radius, CELLS).withColumnsRenamed({a: f"t{a}" for a in AXES})
+    asked = queries.select(*by, "qid", *here, *AXES, *(_cell(a, radius).alias(c) for a, c in zip(AXES, CELLS, strict=True)))
+    met = asked.join(dealt.hint("merge"), [*by, *CELLS]).withColumn("d2", squared_distance(AXES, ("tx", "ty", "tz")))
+    return met.where(F.col("d2") <= radius * radius).select(*by, "qid", "tid", "d2", *here, *there, *CELLS)
 
 
 def neighbours_in_radius(queries: DataFrame, targets: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
